@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, secrets, shards, urlfilter, warc
+from . import chat, decontaminate, jaccard, quality, secrets, shards, urlfilter, warc
 from .common import table
 
 
@@ -46,6 +46,31 @@ FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(5, len(w)) AS n FROM d WHERE len(w) > 0))
+), c AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM o JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
+"""
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(secrets.KINDS[: secrets.BASE]))
@@ -139,9 +164,9 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_quality_rules, op2_benchmark_decontamination, op5_secret_scans, op6_chat_formatting, op7_url_filters, op9_hilbert_sharding, op10_warc]
+    made = [op1_quality_rules, op2_benchmark_decontamination, op4_ngram_jaccard_join, op5_secret_scans, op6_chat_formatting, op7_url_filters, op9_hilbert_sharding, op10_warc]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op6_chat_formatting": OP6_SQL, "op7_url_filters": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_url_filters": OP7_SQL, "op10_warc": OP10_SQL}
