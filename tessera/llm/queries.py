@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, quality, secrets, shards, urlfilter, warc
+from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, shards, urlfilter, warc
 from .common import table
 
 
@@ -46,6 +47,14 @@ FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    found = langid.predict(docs, model)
+    # the contract keeps ``und`` for texts without letters, so a rejected text shows its nearest language and a flag
+    return found.select("doc_id", langid.held_out().alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.join(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -140,6 +149,14 @@ FROM r
 """
 
 
+#: The public model file; on a cluster only the driver needs it.
+PIECES = os.environ.get("TESSERA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), PIECES, seed=42, dropout=0.1)
+
+
 def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -164,7 +181,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_quality_rules, op2_benchmark_decontamination, op4_ngram_jaccard_join, op5_secret_scans, op6_chat_formatting, op7_url_filters, op9_hilbert_sharding, op10_warc]
+    made = [op1_quality_rules, op2_benchmark_decontamination, op3_language_id, op4_ngram_jaccard_join, op5_secret_scans]
+    made += [op6_chat_formatting, op7_url_filters, op8_sentencepiece, op9_hilbert_sharding, op10_warc]
     return {f.__name__: f for f in made}
 
 
