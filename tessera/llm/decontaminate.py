@@ -145,3 +145,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
         id_col, "doc", F.coalesce(F.col("n_words").cast("long"), F.lit(0)).alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any window of an item, all columns."""
+    found = contamination(docs, items, n, id_col, text_col).filter("n_hit > 0").select(F.col("doc").alias("_doc")).distinct()
+    bad = stored(found, "contaminated")
+    return docs.withColumn("_doc", doc_key(id_col, text_col)).join(_small(bad), "_doc", "left_anti").select(docs.columns)

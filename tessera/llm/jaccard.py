@@ -1,23 +1,24 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 A text's set is its distinct word n-grams, as 64-bit hashes. Texts of equal sets form a
-class; only classes are joined. Two sets of sizes a and b reach similarity t only if they
-overlap in at least ``ceil(t * max(a, b))`` tokens, so under any global order of tokens the
-first ``n - ceil(t * n) + k`` of each must share k tokens. Candidates must do so under
+class; only classes are joined. Sets of sizes a and b reach similarity t only if they
+overlap in at least ``ceil(t * max(a, b))`` tokens, so under any global order of tokens their
+first ``n - ceil(t * n) + 1`` must share one. Candidates must do so under
 
-* order B, by hash: only these prefixes (k = ``SHARE`` of the set) leave the texts. They are
-  shuffled as compact blobs by hash range and merged in numpy; a token of one class goes;
-* order A, rarest first, ties by hash: over what is left of a prefix. A class whose shared
-  tokens are too few for k has no partner and goes, before any pair is made; twice, since
-  each round lowers counts. Passages that many texts share end last in this order;
-* order C, by another hash, and the plain prefix of order B, when a pair is looked at.
+* order A, rarest first, ties by hash: tokens are shuffled as compact blobs by hash range and
+  counted in numpy; a token of one class alone goes, as it can only stand first. A class
+  with fewer shared tokens than the overlap asks for has no partner and goes, before any
+  pair is made; twice, since each round lowers the counts. Passages that many texts share
+  end last in this order, so they make no candidates;
+* orders B and C, by two hashes, when a pair is looked at.
 
 Pairs that pass all orders are verified by intersecting whole sets.
 
 Components are exact, yet never all pairs of a group are made. Each token group compares its
 members with one center, that of the fewest tokens of its own; members that link join the
 center's component, the center leaves the group, and a group within one component is
-done. When few pairs can remain, all pairs between components are compared at once.
+done. When at most ``PAIRS`` pairs for each indexed token can remain, all pairs between
+components are compared at once.
 Connected components alternate large and small stars on written tables.
 
 Memory: a task holds one bucket of about ``BUCKET`` tokens, or one pair of sets; the number of
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored, text_buffers
 from .hashing import Q, Texts, U, mix, ngram
 
-CHUNK, BUCKET, FLUSH, SHARE, BROADCAST_ROWS = 2 << 20, 1 << 20, 1 << 20, 20, 500_000
+CHUNK, BUCKET, FLUSH, PAIRS, BROADCAST_ROWS = 2 << 20, 1 << 20, 1 << 20, 64, 500_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -103,7 +104,7 @@ def classify(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """(token, class, size): prefix tokens under order B that two classes or more have in theirs."""
+    """(token, class, size): tokens that two classes or more have."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -136,9 +137,8 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str,
                         seen.add(c)
                 if len(seen) > 200_000:
                     seen.clear()
-                lead = np.where(fresh, size - _least(size, percent) + np.maximum(SHARE * size // 100, 1), 0)
                 doc = np.repeat(np.arange(len(size)), size)
-                keep = np.arange(len(grams)) - start[doc] < lead[doc]
+                keep = fresh[doc]
                 held.append((grams[keep], classes[doc[keep]], size[doc[keep]]))
                 count += int(keep.sum())
                 if count >= FLUSH:
@@ -176,22 +176,26 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str,
 
 
 def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """(token, class, size, own): of each class that can have a partner, its prefix under order A.
-    own: how many tokens of its first prefix are its alone."""
+    """(token, class, size, have, own): of each class that can have a partner, its prefix under order A.
+    have, own: how many of its tokens other classes have too, and how many none.
+    Two sets overlap in ``have`` at most, so a class leaves groups that hold no partner of a size to match."""
     least = F.expr(f"({percent} * size + 99) div 100")
-    low = F.expr(f"greatest({SHARE} * (({percent} * size + 99) div 100) div 100, 1)")
-    lead = F.col("size") - least + F.expr(f"greatest({SHARE} * size div 100, 1)")
     rows = shared
     for _ in range(2):
         have = rows.groupBy("class").agg(F.count(F.lit(1)).alias("have"), F.first("size").alias("size"))
-        rows = rows.drop("have").join(have.filter(F.col("have") >= low).select("class", "have"), "class")
+        rows = rows.drop("have").join(have.filter(F.col("have") >= least).select("class", "have"), "class")
         df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         rows = stored(rows.drop("df").join(df, "token"), "shared")
-    have = rows.groupBy("class").agg(F.count(F.lit(1)).alias("have"), F.first("size").alias("size")).filter(F.col("have") >= low)
+    have = rows.groupBy("class").agg(F.count(F.lit(1)).alias("have"), F.first("size").alias("size")).filter(F.col("have") >= least)
     rows = rows.drop("have").join(have.select("class", "have"), "class")
     rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "token"))
-    rows = rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("have") - low + 1)
-    return stored(rows.select("token", "class", "size", (lead - F.col("have")).alias("own")), "prefixes")
+    rows = rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("have") - least + 1)
+    rows = stored(rows.select("token", "class", "size", "have", (F.col("size") - F.col("have")).alias("own")), "prefixes")
+    for _ in range(2):
+        group = rows.groupBy("token").agg(F.min("size").alias("smallest"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+        other = F.greatest(F.col("smallest"), least)
+        rows = rows.join(group, "token").filter((100 + percent) * F.col("have") >= percent * (F.col("size") + other)).select("token", "class", "size", "have", "own")
+    return stored(rows, "prefixes")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,42 +259,64 @@ def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent:
 
     sets = _texts(docs, id_col, text_col).join(chosen, "key", "left_semi").mapInArrow(run, "class long, tokens binary")
     sets = stored(sets.dropDuplicates(["class"]), "sets")
+    most = PAIRS * prefixes.count()
     left, labels, edges = prefixes, spark.createDataFrame([], "class long, label long"), None
     while True:
         named = left.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
         group = named.groupBy("token").agg(
-            F.min(F.struct("own", "class", "label", "size")).alias("c"), F.count(F.lit(1)).alias("members"), (F.min("label") != F.max("label")).alias("open")
+            F.min(F.struct("own", "class", "label", "size", "have")).alias("c"), F.count(F.lit(1)).alias("members"), (F.min("label") != F.max("label")).alias("open")
         )
-        group = group.filter("open").select("token", "members", F.col("c.class").alias("a"), F.col("c.label").alias("la"), F.col("c.size").alias("sa"))
+        group = group.filter("open").select("token", "members", F.col("c.class").alias("a"), F.col("c.label").alias("la"), F.col("c.size").alias("sa"), F.col("c.have").alias("ha"))
         named = stored(named.join(group, "token"), "groups")
-        n_rows, n_pairs = named.agg(F.count(F.lit(1)), F.sum("members")).first()
+        apart = F.col("label") != F.col("la")
+        n_rows, n_pairs = named.agg(F.count(F.lit(1)), F.sum(F.when(apart, F.col("members")).otherwise(0))).first()
         if not n_rows:
             break
-        alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-        last = n_pairs <= 8 * n_rows + 100_000
-        if last:  # few pairs can remain: all of them, between components
-            other = named.select("token", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"))
-            pairs = named.select("token", F.col("class").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa")).join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike(F.col("sa"), F.col("sb")))
+
+        def fits(x: str, y: str, hx: str, hy: str):
+            """Sizes and tokens in common allow the similarity."""
+            both = F.col(x) + F.col(y)
+            return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * F.least(hx, hy) >= percent * both)
+
+        last = n_pairs <= most
+        if last:  # few pairs can remain: all those between the center's component and others, and between others
+            one = named.filter(apart).select("token", F.col("class").alias("a"), F.col("label").alias("l1"), F.col("size").alias("s1"), F.col("have").alias("h1"))
+            two = named.select("token", F.col("class").alias("b"), F.col("label").alias("l2"), F.col("size").alias("s2"), F.col("have").alias("h2"), apart.alias("too"))
+            pairs = one.join(two, "token").filter((F.col("l1") != F.col("l2")) & (~F.col("too") | (F.col("a") < F.col("b"))) & fits("s1", "s2", "h1", "h2"))
         else:
-            pairs = named.withColumn("b", F.col("class")).filter((F.col("a") != F.col("b")) & (F.col("la") != F.col("label")) & alike(F.col("sa"), F.col("size")))
+            pairs = named.withColumn("b", F.col("class")).filter(apart & fits("sa", "size", "ha", "have"))
         found = verify(pairs.select("a", "b").distinct(), sets, percent)
         edges = stored(found if edges is None else edges.unionByName(found), "links")
         labels = stored(components(edges), "labels")
         if last:
             break
-        left = named.filter("class <> a").select("token", "class", "size", "own")
+        left = named.filter("class <> a").select("token", "class", "size", "have", "own")
     return labels
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, key, size of its set, class, component (the smallest id
-    reachable by links of at least ``percent`` / 100)."""
+    """One row per row of ``docs``: id, key (hash of id and text), size of its set, group, component
+    (the smallest id reachable by links of at least ``percent`` / 100)."""
     rows = stored(classify(docs, n, id_col, text_col), "classes")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bits = max(4, int(total * (100 - percent + SHARE) // 100 // BUCKET).bit_length())
+    bits = max(4, int(total // BUCKET).bit_length())
     prefixes = rare_prefixes(stored(shared_tokens(docs, n, percent, bits, id_col, text_col), "tokens"), percent)
     labels = link(docs, rows, prefixes, n, percent, id_col, text_col)
     named = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.filter("size > 0").groupBy("label").agg(F.min("id").alias("least"))
     out = named.join(least, "label", "left")
-    return out.select(F.col("id").alias(id_col), "key", "size", "class", F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
+    return out.select(F.col("id").alias(id_col), "key", "size", F.col("label").alias("group"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; rows without words all stay."""
+    found = stored(join(docs, n, percent, id_col, text_col).filter("size > 0"), "joined")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col(id_col).alias("id"), "key")).alias("first"))
+    named = found.join(first, "group")
+    gone = stored(named.filter(F.col("key") != F.col("first.key")).select(F.col("key").alias("_key")).distinct(), "gone")
+    twice = stored(named.filter(F.col("key") == F.col("first.key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("_key")), "twice")
+    small = lambda df, k: F.broadcast(df) if k <= BROADCAST_ROWS else df
+    left = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(small(gone, gone.count()), "_key", "left_anti")
+    if k := twice.count():  # equal rows
+        left = left.join(small(twice, k), "_key", "left_anti").unionByName(left.join(small(twice, k), "_key", "left_semi").dropDuplicates(["_key"]))
+    return left.select(docs.columns)

@@ -16,8 +16,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_buffers
 from .hashing import Q, SPACE, Texts, U, mix, ngram, repeated
@@ -95,8 +96,11 @@ def measure(data: np.ndarray, off: np.ndarray, lengths: list[int]) -> dict[str,
     return out
 
 
-def rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, the counts, ``base_failed`` and ``kept``."""
+def _share(part: str, whole: str) -> Column:
+    return F.coalesce(F.col(part) / F.nullif(F.col(whole), F.lit(0)), F.lit(0.0))
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> DataFrame:
     lengths = sorted({5, *limits.ngrams})
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "dup_line_chars", "line_chars", "repeat_words_5", *(f"repeat_chars_{n}" for n in lengths)]
 
@@ -107,17 +111,32 @@ def rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
                 got = measure(data[off[a] : off[b]], off[a : b + 1] - off[a], lengths)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(got[c], pa.int64()) for c in counts)], names=["id", *counts])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in counts))
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in counts)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
+
+
+def _verdict(limits: Limits) -> tuple[Column, Column]:
+    """Failed by the base rule; kept."""
     words, repeat = F.col("n_words"), F.col("repeat_words_5")
     failed = (words < limits.min_words) | (100 * repeat > limits.repeat_percent * words)
-    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    bad = (share("n_dup_lines", "n_lines") > limits.lines) | (share("dup_line_chars", "line_chars") > limits.line_chars)
+    bad = (_share("n_dup_lines", "n_lines") > limits.lines) | (_share("dup_line_chars", "line_chars") > limits.line_chars)
     for n, most in limits.ngrams.items():
-        bad = bad | (share(f"repeat_chars_{n}", "word_chars") > most)
-    return made.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"),
-        failed.alias("base_failed"), (~failed & ~bad).alias("kept"),
-        share("dup_line_chars", "line_chars").alias("dup_line_char_share"),
-        *(share(f"repeat_chars_{n}", "word_chars").alias(f"repeat_char_share_{n}") for n in limits.ngrams),
+        bad = bad | (_share(f"repeat_chars_{n}", "word_chars") > most)
+    return failed, ~failed & ~bad
+
+
+def kept(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col))
+    return _measured(rows, "row", text_col, limits).filter(_verdict(limits)[1]).select("id.*")
+
+
+def rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its id, the counts, ``base_failed`` and ``kept``."""
+    failed, keep = _verdict(limits)
+    return _measured(docs, id_col, text_col, limits).select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("repeat_words_5").alias("n_repeat_words"),
+        failed.alias("base_failed"), keep.alias("kept"),
+        _share("dup_line_chars", "line_chars").alias("dup_line_char_share"),
+        *(_share(f"repeat_chars_{n}", "word_chars").alias(f"repeat_char_share_{n}") for n in limits.ngrams),
     )
