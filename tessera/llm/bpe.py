@@ -8,8 +8,8 @@ seed another one. A text's lane, of ``lanes``, follows from its id, so a word is
 several ways within one run too. What no piece covers becomes byte pieces, so decoding
 returns every text exactly, a literal ``▁`` included (it goes as bytes).
 
-No piece joins a character to a following ``▁``, so words are independent: segmented once
-per lane and kept in a cache of at most ``CACHE`` words. No shuffle; memory is one batch.
+Words (and parts of them between which no piece reaches) are independent: segmented once per
+lane and kept by each Python worker, twice ``CACHE`` words at most. No shuffle; memory is one batch.
 
 Null texts have null ids and decode to null; empty texts have no ids. Repeated rows are
 encoded alike; all other columns are ignored.
@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_buffers
 
-SPACE, CACHE, LONG, CHUNK = "▁", 400_000, 48, 4 << 20
-WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+SPACE, CACHE, LONG, CHUNK = "▁", 300_000, 48, 4 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -47,6 +46,16 @@ class Vocabulary:
     ids: dict[str, int]
     byte_ids: list[int]
 
+    def words(self) -> re.Pattern[str]:
+        """Parts of a text that no merge can join: no piece goes on from a character to a space after it,
+        nor from any other character to one of ``marks``."""
+        marks = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
+        follows = {(x, y) for p in self.scores for x, y in zip(p, p[1:]) if x != SPACE}
+        while wrong := {y for x, y in follows if y in marks and x not in marks}:
+            marks -= wrong
+        some = re.escape("".join(sorted(marks)))
+        return re.compile(f"{SPACE}*[{some}]*[^{some}{SPACE}]+|{SPACE}*[{some}]+|{SPACE}+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import sentencepiece
@@ -72,9 +81,7 @@ def segment(word: str, scores: dict[str, float], key: int = 0, least: int = 0) -
         if end[a] != b or end[b] != c:
             continue
         if least:
-            h = (key ^ (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9)) & _MASK
-            h = ((h ^ h >> 32) * 0xD6E8FEB86659FD93) & _MASK
-            if (h ^ h >> 32) * 0xD6E8FEB86659FD93 & _MASK < least:
+            if ((key ^ a << 42 ^ b << 21 ^ c) * 0xD6E8FEB86659FD93 & _MASK) < least:
                 continue
         end[a], end[b] = c, 0
         if c < n:
@@ -97,11 +104,14 @@ class Coder:
     seed: int = 0
     dropout: float = 0.0
     lanes: int = 2
-    cache: dict[tuple[int, str], bytes] = field(default_factory=dict)
+    #: two generations; a Python worker keeps them over its tasks
+    young: dict[tuple[int, str], bytes] = field(default_factory=dict)
+    old: dict[tuple[int, str], bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.least = int(self.dropout * (1 << 64))
         self.mark = self._bytes(SPACE)
+        self.words = self.vocabulary.words()
         v = self.vocabulary
         self.raw = [p.replace(SPACE, " ").encode() for p in v.pieces]
         for b, i in enumerate(v.byte_ids):
@@ -111,13 +121,14 @@ class Coder:
         return b"".join(struct.pack("<i", self.vocabulary.byte_ids[b]) for b in text.encode())
 
     def word(self, lane: int, word: str) -> bytes:
-        ids = self.vocabulary.ids
-        key = xxhash.xxh64_intdigest(word.encode(), (self.seed * self.lanes + lane) & _MASK) if self.least else 0
-        out = b"".join(struct.pack("<i", i) if (i := ids.get(p)) is not None else self._bytes(p) for p in segment(word, self.vocabulary.scores, key, self.least))
+        if (out := self.old.get((lane, word))) is None:
+            ids = self.vocabulary.ids
+            key = xxhash.xxh64_intdigest(word.encode(), (self.seed * self.lanes + lane) & _MASK) if self.least else 0
+            out = b"".join([struct.pack("<i", i) if (i := ids.get(p)) is not None else self._bytes(p) for p in segment(word, self.vocabulary.scores, key, self.least)])
         if len(word) <= LONG:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[lane, word] = out
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[lane, word] = out
         return out
 
     def encode(self, text: str, lane: int = 0) -> bytes:
@@ -125,12 +136,13 @@ class Coder:
         if not text:
             return b""
         lane = lane % self.lanes if self.least else 0
-        get, word, parts = self.cache.get, self.word, []
+        words, word, parts = self.words.findall, self.word, []
         for k, part in enumerate(text.split(SPACE)):
             if k:
                 parts.append(self.mark)
             part = part.replace(" ", SPACE)
-            parts += [get((lane, w)) or word(lane, w) for w in WORDS.findall(part if k else SPACE + part)]
+            get = self.young.get
+            parts += [get((lane, w)) or word(lane, w) for w in words(part if k else SPACE + part)]
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
@@ -138,6 +150,18 @@ class Coder:
         return b"".join([raw[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode()[1:]
 
 
+_KEPT: dict[tuple, Coder] = {}
+
+
+def _kept(coder: Coder) -> Coder:
+    """This worker's coder of the same settings, with what it has cached."""
+    key = coder.seed, coder.dropout, coder.lanes, zlib.crc32("\0".join(coder.vocabulary.pieces).encode())
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = coder
+    return _KEPT[key]
+
+
 def lane_of(key: object) -> int:
     return zlib.crc32(str(key).encode())
 
@@ -176,7 +200,8 @@ def _run(docs: DataFrame, coder: Coder, id_col: str, text_col: str, schema: str,
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", *(x.split()[0] for x in schema.split(", "))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], coder: Coder = coder) -> Iterator[pa.RecordBatch]:
+        coder = _kept(coder)
         for batch in batches:
             keys, valid = batch.column(0).to_pylist(), batch.column(1).is_valid().to_pylist()
             data, off = text_buffers(batch.column(1))
