@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored, text_buffers
 from .hashing import Q, Texts, U, mix, ngram
 
-CHUNK, BUCKET, FLUSH, PAIRS, BROADCAST_ROWS = 2 << 20, 1 << 20, 1 << 20, 64, 500_000
+CHUNK, BUCKET, FLUSH, PAIRS, BROADCAST_ROWS = 1 << 20, 1 << 19, 1 << 19, 64, 500_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
