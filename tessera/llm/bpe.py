@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_buffers
 
-SPACE, CACHE, LONG, CHUNK = "▁", 300_000, 48, 4 << 20
+SPACE, CACHE, LONG, CHUNK = "▁", 500_000, 48, 4 << 20
 _MASK = (1 << 64) - 1
 
 
