@@ -9,7 +9,8 @@ several ways within one run too. What no piece covers becomes byte pieces, so de
 returns every text exactly, a literal ``▁`` included (it goes as bytes).
 
 Words (and parts of them between which no piece reaches) are independent: segmented once per
-lane and kept by each Python worker, twice ``CACHE`` words at most. No shuffle; memory is one batch.
+lane, many words in lockstep, and kept by each Python worker, twice ``CACHE`` words and those of one
+chunk at most. No shuffle; memory is one batch.
 
 Null texts have null ids and decode to null; empty texts have no ids. Repeated rows are
 encoded alike; all other columns are ignored.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_buffers
 
-SPACE, CACHE, LONG, CHUNK = "▁", 500_000, 48, 4 << 20
+SPACE, CACHE, LONG, CHUNK, ROWS, NEVER = "▁", 500_000, 48, 4 << 20, 8192, 1 << 40
 _MASK = (1 << 64) - 1
 
 
@@ -98,21 +99,125 @@ def segment(word: str, scores: dict[str, float], key: int = 0, least: int = 0) -
     return out
 
 
+class Lockstep:
+    """``segment`` for many words at once, in numpy: a row holds a word, and every round takes
+    each row's best candidate. Characters outside all pieces are a symbol that joins nothing."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        scores = vocabulary.scores
+        names = [*scores, *sorted({c for p in scores for c in p} - scores.keys())]
+        at = {p: i for i, p in enumerate(names)}
+        self.ids = np.array([vocabulary.ids.get(p, -1) for p in names], np.int32)
+        self.ids = np.append(self.ids, np.int32(-1))  # of characters outside all pieces
+        self.n = len(names) + 1
+        self.bytes = np.array(vocabulary.byte_ids, np.int32)
+        # equal scores have equal ranks
+        rank = dict(zip(scores, np.unique([-s for s in scores.values()], return_inverse=True)[1].tolist()))
+        pairs = sorted((at[x] * self.n + at[y], at[p], rank[p]) for p in scores for k in range(1, len(p)) if (x := p[:k]) in at and (y := p[k:]) in at)
+        self.keys, self.joint, self.rank = np.array(pairs or [(-1, 0, 0)], np.int64).T.copy()
+        chars = [(ord(p), i) for p, i in at.items() if len(p) == 1]
+        self.char = np.full(max((c for c, _ in chars), default=0) + 2, self.n - 1, np.int64)
+        for c, i in chars:
+            self.char[c] = i
+
+    def look(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and rank of joint symbols; rank ``NEVER`` where they are none."""
+        key = x * self.n + y
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.joint[i], np.where(self.keys[i] == key, self.rank[i], NEVER)
+
+    def run(self, words: list[str], keys: np.ndarray, least: int) -> list[bytes]:
+        """Ids of each word."""
+        out = [b""] * len(words)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        order = np.argsort(size, kind="stable")
+        for a in range(0, len(order), ROWS):
+            some = order[a : a + ROWS]
+            flat, count = self._rows(points, start[some], size[some], keys[some], least)
+            raw, end = flat.tobytes(), (4 * np.cumsum(count)).tolist()
+            for i, x, y in zip(some.tolist(), [0, *end], end):
+                out[i] = raw[x:y]
+        return out
+
+    def _spelled(self, ids: np.ndarray, points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their rows, characters without a piece (-1) as bytes."""
+        bare = ids < 0
+        if not bare.any():
+            return ids, row
+        some, at = np.unique(points[bare], return_inverse=True)
+        raw = [chr(c).encode() for c in some.tolist()]
+        table = np.array([list(r.ljust(4, b"\0")) for r in raw])
+        count = np.ones(len(ids), np.int64)
+        count[bare] = np.array([len(r) for r in raw])[at]
+        which = np.zeros(len(ids), np.int64)
+        which[bare] = at
+        token = np.repeat(np.arange(len(ids)), count)
+        place = np.arange(len(token)) - (np.cumsum(count) - count)[token]
+        out, spell = ids[token], bare[token]
+        out[spell] = self.bytes[table[which[token[spell]], place[spell]]]
+        return out, row[token]
+
+    def _rows(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, width = len(size), int(size.max())
+        place = np.arange(width)
+        inside = place < size[:, None]
+        points = points[np.where(inside, start[:, None] + place, 0)]
+        symbol = self.char[np.minimum(points, len(self.char) - 1)]
+        end = np.tile(place + 1, (rows, 1))  # as in ``segment``
+        before = np.tile(place - 1, (rows, 1))
+        joint, rank = np.zeros((rows, width), np.int64), np.full((rows, width), NEVER, np.int64)
+        if width > 1:
+            joint[:, :-1], rank[:, :-1] = self.look(symbol[:, :-1], symbol[:, 1:])
+            rank[:, :-1][~inside[:, 1:]] = NEVER
+        live = np.arange(rows)
+        while len(live):
+            a = rank[live].argmin(1)
+            more = rank[live, a] < NEVER
+            live, a = live[more], a[more]
+            b = end[live, a]
+            c = end[live, b]
+            go = live
+            if least:
+                mixed = (keys[live] ^ (a.astype(np.uint64) << np.uint64(42)) ^ (b.astype(np.uint64) << np.uint64(21)) ^ c.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+                merge = mixed >= np.uint64(least)
+                skip = ~merge
+                rank[live[skip], a[skip]] = NEVER
+                go, a, b, c = live[merge], a[merge], b[merge], c[merge]
+            now = joint[go, a]
+            symbol[go, a], end[go, a], end[go, b], rank[go, a], rank[go, b] = now, c, 0, NEVER, NEVER
+            r = c < size[go]
+            row, left, right = go[r], a[r], c[r]
+            before[row, right] = left
+            joint[row, left], rank[row, left] = self.look(now[r], symbol[row, right])
+            p = before[go, a]
+            r = p >= 0
+            row, left = go[r], p[r]
+            joint[row, left], rank[row, left] = self.look(symbol[row, left], now[r])
+        whole = inside & (end > 0)
+        ids, row = self._spelled(self.ids[symbol[whole]], points[whole], np.nonzero(whole)[0])
+        return ids, np.bincount(row, minlength=rows)
+
+
 @dataclass
 class Coder:
     vocabulary: Vocabulary
     seed: int = 0
     dropout: float = 0.0
     lanes: int = 2
-    #: two generations; a Python worker keeps them over its tasks
-    young: dict[tuple[int, str], bytes] = field(default_factory=dict)
-    old: dict[tuple[int, str], bytes] = field(default_factory=dict)
+    #: by lane, two generations; a Python worker keeps them over its tasks. Key None: a literal ``▁``
+    young: list[dict[str | None, bytes]] = field(default_factory=list)
+    old: list[dict[str | None, bytes]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.least = int(self.dropout * (1 << 64))
-        self.mark = self._bytes(SPACE)
+        self.lanes = self.lanes if self.least else 1
         self.words = self.vocabulary.words()
+        self.lockstep = Lockstep(self.vocabulary)
         v = self.vocabulary
+        self.mark = self._bytes(SPACE)
+        self.young, self.old = ([{None: self.mark} for _ in range(self.lanes)] for _ in range(2))
         self.raw = [p.replace(SPACE, " ").encode() for p in v.pieces]
         for b, i in enumerate(v.byte_ids):
             self.raw[i] = bytes([b])
@@ -120,34 +225,62 @@ class Coder:
     def _bytes(self, text: str) -> bytes:
         return b"".join(struct.pack("<i", self.vocabulary.byte_ids[b]) for b in text.encode())
 
-    def word(self, lane: int, word: str) -> bytes:
-        if (out := self.old.get((lane, word))) is None:
-            ids = self.vocabulary.ids
-            key = xxhash.xxh64_intdigest(word.encode(), (self.seed * self.lanes + lane) & _MASK) if self.least else 0
-            out = b"".join([struct.pack("<i", i) if (i := ids.get(p)) is not None else self._bytes(p) for p in segment(word, self.vocabulary.scores, key, self.least)])
-        if len(word) <= LONG:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[lane, word] = out
-        return out
-
-    def encode(self, text: str, lane: int = 0) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+    def _split(self, text: str) -> list[str | None]:
         if not text:
-            return b""
-        lane = lane % self.lanes if self.least else 0
-        words, word, parts = self.words.findall, self.word, []
+            return []
+        out: list[str | None] = []
         for k, part in enumerate(text.split(SPACE)):
             if k:
-                parts.append(self.mark)
+                out.append(None)
             part = part.replace(" ", SPACE)
-            get = self.young.get
-            parts += [get((lane, w)) or word(lane, w) for w in words(part if k else SPACE + part)]
-        return b"".join(parts)
+            out += self.words.findall(part if k else SPACE + part)
+        return out
+
+    def _learn(self, lane: int, words: set[str | None]) -> list[str]:
+        """Have ``young`` know all ``words``; those too long to keep."""
+        young, old = self.young[lane], self.old[lane]
+        new = []
+        for w in words:
+            if (out := old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = out
+        seed = (self.seed * self.lanes + lane) & _MASK
+        keys = [xxhash.xxh64_intdigest(w.encode(), seed) for w in new] if self.least else [0] * len(new)
+        short = [i for i, w in enumerate(new) if len(w) <= LONG]
+        if short:
+            young.update(zip([new[i] for i in short], self.lockstep.run([new[i] for i in short], np.array([keys[i] for i in short], np.uint64), self.least)))
+        ids = self.vocabulary.ids
+        for w, key in zip(new, keys):
+            if len(w) > LONG:
+                young[w] = b"".join([struct.pack("<i", i) if (i := ids.get(p)) is not None else self._bytes(p) for p in segment(w, self.vocabulary.scores, key, self.least)])
+        return [w for w in new if len(w) > LONG]
+
+    def encode_all(self, texts: list[str], lanes: list[int]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        lanes = [x % self.lanes for x in lanes]
+        split = [self._split(t) for t in texts]
+        long: list[list[str]] = []
+        for lane in range(self.lanes):
+            new: set[str | None] = set()
+            for words, own in zip(split, lanes):
+                if own == lane:
+                    new.update(words)
+            new.difference_update(self.young[lane])
+            long.append(self._learn(lane, new))
+        out = [b"".join(map(self.young[lane].__getitem__, words)) for words, lane in zip(split, lanes)]
+        for lane, words in enumerate(long):
+            for w in words:
+                del self.young[lane][w]
+            if len(self.young[lane]) >= CACHE // self.lanes:
+                self.old[lane], self.young[lane] = self.young[lane], {None: self.mark}
+        return out
+
+    def encode(self, text: str, lane: int = 0) -> bytes:
+        return self.encode_all([text], [lane])[0]
 
     def decode(self, ids: bytes) -> str:
-        raw = self.raw
-        return b"".join([raw[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode()[1:]
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode()[1:]
 
 
 _KEPT: dict[tuple, Coder] = {}
@@ -168,7 +301,7 @@ def lane_of(key: object) -> int:
 
 def encode(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, lanes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and ``ids`` (array of int) of every row. ``path``: the model file, read on the driver."""
-    return _run(docs, Coder(Vocabulary.load(path), seed, dropout, lanes), id_col, text_col, "ids array<int>", lambda c, key, raw: (np.frombuffer(c.encode(raw.decode(), lane_of(key)), "<i4"),), [pa.list_(pa.int32())])
+    return _run(docs, Coder(Vocabulary.load(path), seed, dropout, lanes), id_col, text_col, "ids array<int>", lambda c, raw, ids: (np.frombuffer(ids, "<i4"),), [pa.list_(pa.int32())])
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -187,8 +320,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 def round_trip(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, lanes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, decode its ids: n_tokens, ids_sha256 (of 32-bit little-endian ids), decoded_sha256, lossless."""
 
-    def both(c: Coder, key: object, raw: bytes) -> tuple:
-        ids = c.encode(raw.decode(), lane_of(key))
+    def both(c: Coder, raw: bytes, ids: bytes) -> tuple:
         back = c.decode(ids).encode()
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw
 
@@ -206,7 +338,9 @@ def _run(docs: DataFrame, coder: Coder, id_col: str, text_col: str, schema: str,
             keys, valid = batch.column(0).to_pylist(), batch.column(1).is_valid().to_pylist()
             data, off = text_buffers(batch.column(1))
             for a, b in slices(off, CHUNK):
-                got = [each(coder, keys[i], data[off[i] : off[i + 1]].tobytes()) if valid[i] else (None,) * len(kinds) for i in range(a, b)]
+                raw = [data[off[i] : off[i + 1]].tobytes() for i in range(a, b)]
+                ids = coder.encode_all([r.decode() for r in raw], [lane_of(k) for k in keys[a:b]])
+                got = [each(coder, r, x) if v else (None,) * len(kinds) for r, x, v in zip(raw, ids, valid[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(zip(*got), kinds))], names=names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)

@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,12 @@ def test_sentencepiece(spark):
     for word in ("▁strange", "▁potions,", "bridges"):
         for key in range(50):
             assert bpe.segment(word, v.scores, key * 0x9E3779B97F4A7C15, 1 << 62) == naive(word, v.scores, key * 0x9E3779B97F4A7C15, 1 << 62)
+    words = sorted({w for t in plain for w in coder._split(t)}) + ["\u2581\n日😀é", "é", "\n", "aaaaaaaa"]
+    for least in (0, 1 << 62):
+        keys = [0x9E3779B97F4A7C15 * k % (1 << 64) for k in range(len(words))]
+        for w, key, raw in zip(words, keys, coder.lockstep.run(words, np.array(keys, np.uint64), least)):
+            want = [i for p in bpe.segment(w, v.scores, key, least) for i in ([v.ids[p]] if p in v.ids else [v.byte_ids[b] for b in p.encode()])]
+            assert list(struct.unpack(f"<{len(want)}i", raw)) == want
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs(spark), queries.PIECES, 1, 0.3).collect()}
     other = {r["doc_id"]: r["ids"] for r in bpe.encode(docs(spark), queries.PIECES, 2, 0.3).collect()}
     assert got[0] is None and got[1] == [] and got[5] != other[5]
