@@ -21,8 +21,8 @@ done. When at most ``PAIRS`` pairs for each indexed token can remain, all pairs
 components are compared at once.
 Connected components alternate large and small stars on written tables.
 
-Memory: a task holds one bucket of about ``BUCKET`` tokens, or one pair of sets; the number of
-buckets follows the input. Hashes have 64 bits: the odds that any two of 10**9 classes are
+Memory: a task holds one bucket of about ``BUCKET`` tokens, or a batch of ``PAIR_ROWS`` pairs of sets;
+the number of buckets follows the input. Hashes have 64 bits: the odds that any two of 10**9 classes are
 taken for one are 3 %, those of a wrong link far lower.
 
 Null texts and texts without words have empty sets and are linked with nothing. Texts of
@@ -38,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_buffers
+from .common import batches_of, slices, stored, text_buffers
 from .hashing import Q, Texts, U, mix, ngram
 
 CHUNK, BUCKET, FLUSH, PAIRS, BROADCAST_ROWS = 1 << 20, 1 << 19, 1 << 19, 64, 500_000
+#: rows of a batch that Python gets: texts, pairs of sets
+TEXT_ROWS, PAIR_ROWS = 1000, 256
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -258,7 +260,8 @@ def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent:
                 yield pa.RecordBatch.from_arrays([pa.array(classes.view(np.int64)), tokens], names=["class", "tokens"])
 
     sets = _texts(docs, id_col, text_col).join(chosen, "key", "left_semi").mapInArrow(run, "class long, tokens binary")
-    sets = stored(sets.dropDuplicates(["class"]), "sets")
+    with batches_of(spark, TEXT_ROWS):
+        sets = stored(sets.dropDuplicates(["class"]), "sets")
     most = PAIRS * prefixes.count()
     left, labels, edges = prefixes, spark.createDataFrame([], "class long, label long"), None
     while True:
@@ -286,7 +289,8 @@ def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent:
         else:
             pairs = named.withColumn("b", F.col("class")).filter(apart & fits("sa", "size", "ha", "have"))
         found = verify(pairs.select("a", "b").distinct(), sets, percent)
-        edges = stored(found if edges is None else edges.unionByName(found), "links")
+        with batches_of(spark, PAIR_ROWS):
+            edges = stored(found if edges is None else edges.unionByName(found), "links")
         labels = stored(components(edges), "labels")
         if last:
             break
@@ -297,10 +301,13 @@ def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent:
 def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, key (hash of id and text), size of its set, group, component
     (the smallest id reachable by links of at least ``percent`` / 100)."""
-    rows = stored(classify(docs, n, id_col, text_col), "classes")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        rows = stored(classify(docs, n, id_col, text_col), "classes")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bits = max(4, int(total // BUCKET).bit_length())
-    prefixes = rare_prefixes(stored(shared_tokens(docs, n, percent, bits, id_col, text_col), "tokens"), percent)
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        tokens = stored(shared_tokens(docs, n, percent, bits, id_col, text_col), "tokens")
+    prefixes = rare_prefixes(tokens, percent)
     labels = link(docs, rows, prefixes, n, percent, id_col, text_col)
     named = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.filter("size > 0").groupBy("label").agg(F.min("id").alias("least"))
