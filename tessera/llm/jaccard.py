@@ -9,7 +9,8 @@ first ``n - ceil(t * n) + 1`` must share one. Candidates must do so under
   counted in numpy; a token of one class alone goes, as it can only stand first. A class
   with fewer shared tokens than the overlap asks for has no partner and goes, before any
   pair is made; twice, since each round lowers the counts. Passages that many texts share
-  end last in this order, so they make no candidates;
+  end last in this order, so they make no candidates. Two sets meet only where, were it
+  their first common token, those from it on could still make up the overlap;
 * orders B and C, by two hashes, when a pair is looked at.
 
 Pairs that pass all orders are verified by intersecting whole sets.
@@ -178,9 +179,10 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str,
 
 
 def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """(token, class, size, have, own): of each class that can have a partner, its prefix under order A.
-    have, own: how many of its tokens other classes have too, and how many none.
-    Two sets overlap in ``have`` at most, so a class leaves groups that hold no partner of a size to match."""
+    """(token, class, size, rest, own): of each class that can have a partner, its prefix under order A.
+    rest: how many tokens that other classes have too it holds from this one on; own: how many that none has.
+    Two sets whose first common token this is overlap in ``rest`` at most, so a class leaves groups that
+    hold no partner of a size to match."""
     least = F.expr(f"({percent} * size + 99) div 100")
     rows = shared
     for _ in range(2):
@@ -192,11 +194,12 @@ def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
     rows = rows.drop("have").join(have.select("class", "have"), "class")
     rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "token"))
     rows = rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("have") - least + 1)
-    rows = stored(rows.select("token", "class", "size", "have", (F.col("size") - F.col("have")).alias("own")), "prefixes")
+    rows = rows.select("token", "class", "size", (F.col("have") - F.col("rank") + 1).alias("rest"), (F.col("size") - F.col("have")).alias("own"))
+    rows = stored(rows, "prefixes")
     for _ in range(2):
         group = rows.groupBy("token").agg(F.min("size").alias("smallest"), F.count(F.lit(1)).alias("members")).filter("members > 1")
         other = F.greatest(F.col("smallest"), least)
-        rows = rows.join(group, "token").filter((100 + percent) * F.col("have") >= percent * (F.col("size") + other)).select("token", "class", "size", "have", "own")
+        rows = rows.join(group, "token").filter((100 + percent) * F.col("rest") >= percent * (F.col("size") + other)).select("token", "class", "size", "rest", "own")
     return stored(rows, "prefixes")
 
 
@@ -267,34 +270,34 @@ def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent:
     while True:
         named = left.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
         group = named.groupBy("token").agg(
-            F.min(F.struct("own", "class", "label", "size", "have")).alias("c"), F.count(F.lit(1)).alias("members"), (F.min("label") != F.max("label")).alias("open")
+            F.min(F.struct("own", "class", "label", "size", "rest")).alias("c"), F.count(F.lit(1)).alias("members"), (F.min("label") != F.max("label")).alias("open")
         )
-        group = group.filter("open").select("token", "members", F.col("c.class").alias("a"), F.col("c.label").alias("la"), F.col("c.size").alias("sa"), F.col("c.have").alias("ha"))
+        group = group.filter("open").select("token", "members", F.col("c.class").alias("a"), F.col("c.label").alias("la"), F.col("c.size").alias("sa"), F.col("c.rest").alias("ra"))
         named = stored(named.join(group, "token"), "groups")
         apart = F.col("label") != F.col("la")
         n_rows, n_pairs = named.agg(F.count(F.lit(1)), F.sum(F.when(apart, F.col("members")).otherwise(0))).first()
         if not n_rows:
             break
 
-        def fits(x: str, y: str, hx: str, hy: str):
-            """Sizes and tokens in common allow the similarity."""
+        def fits(x: str, y: str, rx: str, ry: str):
+            """Sizes allow the similarity, and so do the tokens from this on, which holds for the first that two sets share."""
             both = F.col(x) + F.col(y)
-            return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * F.least(hx, hy) >= percent * both)
+            return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * F.least(rx, ry) >= percent * both)
 
         last = n_pairs <= most
         if last:  # few pairs can remain: all those between the center's component and others, and between others
-            one = named.filter(apart).select("token", F.col("class").alias("a"), F.col("label").alias("l1"), F.col("size").alias("s1"), F.col("have").alias("h1"))
-            two = named.select("token", F.col("class").alias("b"), F.col("label").alias("l2"), F.col("size").alias("s2"), F.col("have").alias("h2"), apart.alias("too"))
-            pairs = one.join(two, "token").filter((F.col("l1") != F.col("l2")) & (~F.col("too") | (F.col("a") < F.col("b"))) & fits("s1", "s2", "h1", "h2"))
+            one = named.filter(apart).select("token", F.col("class").alias("a"), F.col("label").alias("l1"), F.col("size").alias("s1"), F.col("rest").alias("r1"))
+            two = named.select("token", F.col("class").alias("b"), F.col("label").alias("l2"), F.col("size").alias("s2"), F.col("rest").alias("r2"), apart.alias("too"))
+            pairs = one.join(two, "token").filter((F.col("l1") != F.col("l2")) & (~F.col("too") | (F.col("a") < F.col("b"))) & fits("s1", "s2", "r1", "r2"))
         else:
-            pairs = named.withColumn("b", F.col("class")).filter(apart & fits("sa", "size", "ha", "have"))
+            pairs = named.withColumn("b", F.col("class")).filter(apart & fits("sa", "size", "ra", "rest"))
         found = verify(pairs.select("a", "b").distinct(), sets, percent)
         with batches_of(spark, PAIR_ROWS):
             edges = stored(found if edges is None else edges.unionByName(found), "links")
         labels = stored(components(edges), "labels")
         if last:
             break
-        left = named.filter("class <> a").select("token", "class", "size", "have", "own")
+        left = named.filter("class <> a").select("token", "class", "size", "rest", "own")
     return labels
 
 
