@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import slices, text_buffers
 from .hashing import Q, SPACE, Texts, U, mix, ngram, repeated
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_buffers
 
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 #: Kinds in order; the base's come first.
