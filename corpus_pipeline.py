@@ -13,9 +13,18 @@ from tessera.llm import bpe, decontaminate, jaccard, quality, secrets
 from tessera.llm.common import stored, table
 from tessera.llm.queries import PIECES
 
+#: Texts that a Python worker gets at once; the session's default of 10,000 can be far too many long ones.
+TEXTS = "500"
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Stages are written by their caller, so the limit stays in the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    _bounded(spark)
     return quality.kept(docs)
 
 
@@ -31,12 +40,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked; n_chars follows."""
+    _bounded(spark)
     masked = secrets.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and token ids."""
+    _bounded(spark)
     coded = bpe.encode(docs, PIECES, seed=42, dropout=0.1)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
