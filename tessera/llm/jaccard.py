@@ -43,6 +43,8 @@ from .common import batches_of, slices, stored, text_buffers
 from .hashing import Q, Texts, U, mix, ngram
 
 CHUNK, BUCKET, FLUSH, PAIRS, BROADCAST_ROWS = 1 << 20, 1 << 19, 1 << 19, 64, 500_000
+#: tasks that merge buckets, at most; beyond it a task takes several, one after the other
+PARTITIONS = 1 << 14
 #: rows of a batch that Python gets: texts, pairs of sets
 TEXT_ROWS, PAIR_ROWS = 1000, 256
 LOWER = np.arange(256, dtype=np.uint8)
@@ -126,7 +128,7 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str,
                 planes = np.ascontiguousarray(tok[a:b].view(np.uint8).reshape(-1, 8).T).tobytes()
                 rows.append((int(bucket[a]), planes, at.astype(np.uint16 if len(some) < 65536 else np.uint32).tobytes(), some.tobytes(), size[a:b][first].astype(np.uint32).tobytes()))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], names=["bucket", "tokens", "at", "classes", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "tokens", "at", "classes", "sizes"])
 
         count = 0
         for batch in batches:
@@ -174,7 +176,9 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str,
             tok, c, s = tok[more], c[more], s[more]
         return pa.table({"token": pa.array(tok.view(np.int64)), "class": pa.array(c.view(np.int64)), "size": pa.array(s.astype(np.int64))})
 
-    blobs = _texts(docs, id_col, text_col).mapInArrow(emit, "bucket long, tokens binary, at binary, classes binary, sizes binary")
+    blobs = _texts(docs, id_col, text_col).mapInArrow(emit, "bucket int, tokens binary, at binary, classes binary, sizes binary")
+    # buckets are even hash ranges: hashing them again would lay several into one task
+    blobs = blobs.repartitionById(min(1 << bits, PARTITIONS), F.col("bucket"))
     return blobs.groupBy("bucket").applyInArrow(merge, "token long, class long, size long")
 
 
