@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import analysis as N
+from ..functions import constraints as K
 from ..functions import text as X
 from ..functions.lexicons import known_values
 from ..operators import analytics as A
 from ..operators import matching as M
+from ..operators import questions as Q
 from ..operators import retrieval as R
 from ..streaming import session
 
@@ -255,3 +258,57 @@ def document_terms(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def conversation_fold(spark: SparkSession, d: str) -> DataFrame:
     return session.fold(load(spark, d, "conversations"))
+
+
+_KIND = "CASE WHEN regexp_matches(t, 'budget|(?:\\$|<=|under)\\s*\\d') THEN 'budget' " + " ".join(f"WHEN regexp_matches(t, '{'|'.join(w.split())}') THEN '{k}'" for k, w in K.KINDS) + " ELSE 'feature' END"
+_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(replace(lower(t), ' ', '_'), '{'|'.join(w.split())}') THEN '{k}'" for k, w in K.FAMILIES) + " END"
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT {_KIND} AS kind FROM (SELECT lower(coalesce(text, '')) AS t FROM conversations UNION ALL SELECT lower(p_name || ' ' || p_type) FROM part UNION ALL SELECT 'under $' || p_size FROM part)) GROUP BY kind")
+def constraint_kinds(spark: SparkSession, d: str) -> DataFrame:
+    part = load(spark, d, "part")
+    said = load(spark, d, "conversations").select("text").unionAll(part.select(F.concat_ws(" ", "p_name", "p_type"))).unionAll(part.select(F.concat(F.lit("under $"), "p_size")))
+    return said.select(K.kind(F.col("text")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, {_FAMILY} AS family FROM (SELECT doc_id, text AS t FROM documents)")
+def category_families(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", K.family(F.col("text")).alias("family"))
+
+
+@query("SELECT conv_id, turn, rtrim(substr(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' -;,.'), 1, 180)) AS phrase FROM conversations")
+def cleaned_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "conversations").select("conv_id", "turn", K.cleaned(F.col("text")).alias("phrase"))
+
+
+_POOL = "SELECT p_brand AS qid, unnest([{'attribute': 'size', 'value': CAST(p_size AS VARCHAR)}, {'attribute': 'material', 'value': p_type}, {'attribute': 'budget', 'value': CASE WHEN p_retailprice < 1000 THEN 'low' WHEN p_retailprice < 1500 THEN 'high' END}, {'attribute': 'color', 'value': split_part(p_name, ' ', 1)}], recursive := true) FROM part"
+_WEIGHTS = ", ".join(f"('{r}', '{a}', {i}, {w}::DOUBLE)" for r, t in Q.RELEVANCE.items() for i, (a, w) in enumerate(t.items()))
+
+
+@query(
+    f"WITH s AS (SELECT p_brand AS qid, min(p_size) % 3 AS turn, CASE WHEN count(*) % 2 = 0 THEN 'buying' ELSE 'browsing' END AS route, CASE WHEN count(*) % 5 > 0 THEN 'x' END AS category, count(*) % 4 AS dry FROM part GROUP BY 1),"
+    f" f AS ({_POOL}), n AS (SELECT qid, attribute, value, count(*) AS n FROM f GROUP BY ALL),"
+    " g AS (SELECT qid, attribute, CASE WHEN count(value) >= 2 THEN (ln(sum(n) FILTER (value IS NOT NULL)) - (sum(n * ln(n)) FILTER (value IS NOT NULL)) / (sum(n) FILTER (value IS NOT NULL))) / ln(count(value)) * ((sum(n) FILTER (value IS NOT NULL)) / sum(n)) * (1 - (max(n) FILTER (value IS NOT NULL)) / (sum(n) FILTER (value IS NOT NULL))) ELSE 0 END AS gain FROM n GROUP BY 1, 2),"
+    f" w(route, attribute, place, weight) AS (VALUES {_WEIGHTS}),"
+    " c AS (SELECT s.qid, w.attribute, round(weight * coalesce(gain, 0) * CASE WHEN w.attribute = 'budget' THEN 1.08 ELSE 1 END, 6) AS value, place FROM s JOIN w USING (route) LEFT JOIN g ON g.qid = s.qid AND g.attribute = w.attribute WHERE w.attribute <> 'brand'),"
+    " b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY value DESC, place) = 1)"
+    " SELECT qid, CASE WHEN category IS NULL THEN 'category' WHEN dry >= 2 THEN 'other' ELSE attribute END AS attribute, CASE WHEN category IS NOT NULL AND dry < 2 THEN value END AS value FROM s JOIN b USING (qid)"
+)
+def question_policy(spark: SparkSession, d: str) -> DataFrame:
+    part = load(spark, d, "part")
+    n = F.count(F.lit(1))
+    sessions = part.groupBy(F.col("p_brand").alias("qid")).agg(
+        (F.min("p_size") % 3).alias("turn"), F.when(n % 2 == 0, "buying").otherwise("browsing").alias("route"), F.when(n % 5 > 0, "x").alias("category"), (n % 4).alias("dry")
+    )
+    sessions = sessions.withColumns({"known": F.array(F.lit("brand")), "blocked": F.array().cast("array<string>"), "tags": F.array(F.lit("price"), F.lit("odd")), "other_used": F.lit(False)})
+    price = F.when(F.col("p_retailprice") < 1000, "low").when(F.col("p_retailprice") < 1500, "high")
+    values = (("size", F.col("p_size").cast("string")), ("material", F.col("p_type")), ("budget", price), ("color", F.split("p_name", " ")[0]))
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), c.alias("value")) for a, c in values))).alias("x")
+    return Q.choose(sessions, part.select(F.col("p_brand").alias("qid"), each).select("qid", "x.attribute", "x.value"))
+
+
+@query()
+def stemmed_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: DuckDB has no stemmer built in; tested on the algorithm's published pairs."""
+    found = load(spark, d, "documents").select(F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(N.stems(found), "word").groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))

@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.functions import constraints as K
+from tessera.functions.analysis import phrase, stems
+from tessera.operators.questions import TAGS, choose
 from tessera.functions import text as X
 from tessera.functions.lexicons import known_values
 from tessera.operators import analytics as A
@@ -135,3 +138,54 @@ def test_batch_fold_equals_stream(spark, tmp_path):
 def test_entry(spark):
     assert isinstance(entry.entry(spark).toPandas(), pd.DataFrame)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+# Published pairs of Porter's algorithm.
+STEMS = "caresses:caress ponies:poni ties:ti agreed:agre plastered:plaster motoring:motor conflated:conflat hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat rational:ration vietnamization:vietnam sensibiliti:sensibl electriciti:electr hopeful:hope replacement:replac adoption:adopt controll:control roll:roll cease:ceas rate:rate women:women Café:cafe naïve:naiv"
+
+
+def test_stems(spark):
+    want = dict(p.split(":") for p in STEMS.split())
+    got = stems(spark.createDataFrame([(w,) for w in [*want, *want, None]], "word string"))
+    assert {r.word: r.stem for r in got.collect()} == want
+
+
+def test_phrase_is_nfkc(spark):
+    rows = spark.createDataFrame([("ﬁne_Knit",), ("Ｂｌｕｅ-x",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(phrase(F.col("t"))).collect()] == ["fine knit", "blue x", None, ""]
+
+
+def test_constraint_phrases(spark):
+    said = ["Under $20", "soft cotton", "navy blue", "wide", "crew neck", "for work", "nice", None]
+    rows = spark.createDataFrame([(s,) for s in said], "t string")
+    assert [r[0] for r in rows.select(K.kind(F.col("t"))).collect()] == ["budget", "material", "color", "size", "style", "use_case", "feature", "feature"]
+    rows = spark.createDataFrame([("Running Shoes",), ("T shirt",), ("earring",), ("watches",), ("lamp",), (None,)], "t string")
+    assert [r[0] for r in rows.select(K.family(F.col("t"))).collect()] == ["footwear", "clothing", "jewelry", "watches", None, None]
+    rows = spark.createDataFrame([(" -; a \n b ,.",), ("x" * 179 + " yy",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(K.cleaned(F.col("t"))).collect()] == ["a b", "x" * 179, "", None]
+    rows = spark.createDataFrame([(["Clothing, Shoes & Jewelry", "Women", "Shoes", "Boots"],), (["Clothing"],), ([],), (None,)], "p array<string>")
+    assert [r[0] for r in rows.select(K.coarse_category(F.col("p"))).collect()] == ["Shoes Boots", "clothing item", "clothing item", "clothing item"]
+
+
+def test_match_category(spark):
+    rows = [(["boots"], ["boots"], []), (["boots"], ["sandals"], []), (["boots"], ["jacket"], []), (["boots"], [], []), (["lamp"], ["boots"], []), (["shoes"], ["boots"], ["shoes"])]
+    rows = spark.createDataFrame(rows, "w array<string>, l array<string>, p array<string>")
+    c = [F.col(x) for x in "wlp"]
+    state, sure = K.match_category(*c, F.lit(0.65))
+    assert [tuple(r) for r in rows.select(state, sure).collect()] == [("match", 0.65), ("unknown", 0.5), ("mismatch", 0.65), ("unknown", 0.0), ("unknown", 0.5), ("match", 0.65)]
+    assert [r[0] for r in rows.select(K.match_category(*c, F.lit(0.65), excluded=True)[0]).collect()] == ["mismatch", "unknown", "match", "unknown", "unknown", "mismatch"]
+
+
+def test_questions(spark):
+    empty = []
+    sessions = [
+        (1, 10, "buying", "c", empty, empty, empty, 0, False), (2, 1, "buying", None, empty, empty, empty, 0, False), (3, 3, "buying", "c", empty, empty, empty, 2, False),
+        (4, 3, "buying", "c", empty, empty, empty, 2, True), (5, 3, "browsing", "c", ["color"], empty, empty, 0, False), (6, 1, "buying", "c", ["material", "feature"], ["color", "style"], None, 0, False),
+        (7, 1, "browsing", "c", list(TAGS.values()), empty, ["fit"], 0, False),
+    ]
+    sessions = spark.createDataFrame(sessions, "qid int, turn int, route string, category string, known array<string>, blocked array<string>, tags array<string>, dry int, other_used boolean")
+    facets = spark.createDataFrame([(q, "color", v) for q in (4, 5) for v in ("a", "b", None, "unknown")] + [(5, "size", "s"), (5, "size", "m"), (5, "budget", "x")], "qid int, attribute string, value string")
+    got = {r.qid: (r.attribute, r.value) for r in choose(sessions, facets).collect()}
+    assert got == {1: (None, None), 2: ("category", None), 3: ("other", None), 4: ("color", 0.2375), 5: ("size", 0.175), 6: ("size", 0.0), 7: (None, None)}
+    asked = spark.createDataFrame([([], [], ["material", "feature"]), (["feature"], ["color"], ["material"]), (K.QUESTION_ORDER, [], [])], "a array<string>, n array<string>, m array<string>")
+    assert [r[0] for r in asked.select(K.safe_question(F.col("a"), F.col("n"), F.col("m"))).collect()] == ["feature", "style", None]
