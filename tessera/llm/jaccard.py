@@ -270,7 +270,7 @@ def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent:
     with batches_of(spark, TEXT_ROWS):
         sets = stored(sets.dropDuplicates(["class"]), "sets")
     most = PAIRS * prefixes.count()
-    left, labels, edges = prefixes, spark.createDataFrame([], "class long, label long"), None
+    left, labels, edges = prefixes, spark.range(0).select(F.col("id").alias("class"), F.col("id").alias("label")), None
     while True:
         named = left.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
         group = named.groupBy("token").agg(
