@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import lean, slices, text_buffers
 
 SPACE, CACHE, LONG, CHUNK, ROWS, NEVER = "▁", 100_000, 48, 1 << 20, 4096, 1 << 40
 _MASK = (1 << 64) - 1
@@ -314,7 +314,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             texts = [None if x is None else coder.decode(np.asarray(x, "<i4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(lean(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, lanes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,4 +343,4 @@ def _run(docs: DataFrame, coder: Coder, id_col: str, text_col: str, schema: str,
                 got = [each(coder, r, x) if v else (None,) * len(kinds) for r, x, v in zip(raw, ids, valid[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(zip(*got), kinds))], names=names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"id {kind}, {schema}").withColumnRenamed("id", id_col)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, slices, stored, text_buffers
+from .common import batches_of, lean, release, slices, stored, text_buffers
 from .hashing import Q, Texts, U, mix, ngram
 
 CHUNK, BUCKET, FLUSH, PAIRS, BROADCAST_ROWS = 1 << 20, 1 << 19, 1 << 19, 64, 500_000
@@ -105,7 +105,7 @@ def classify(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size, pa.int64()), pa.array(classes.view(np.int64))], names=["key", "id", "size", "class"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"key long, id {kind}, size long, class long")
+    return _texts(docs, id_col, text_col).mapInArrow(lean(run), f"key long, id {kind}, size long, class long")
 
 
 def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str, text_col: str) -> DataFrame:
@@ -153,6 +153,7 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str,
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
+        release()
         toks, cls, sizes = [], [], []
         for planes, at, some, size in zip(*(table.column(c).to_pylist() for c in ("tokens", "at", "classes", "sizes"))):
             tok = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(U).ravel()
@@ -176,7 +177,7 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str,
             tok, c, s = tok[more], c[more], s[more]
         return pa.table({"token": pa.array(tok.view(np.int64)), "class": pa.array(c.view(np.int64)), "size": pa.array(s.astype(np.int64))})
 
-    blobs = _texts(docs, id_col, text_col).mapInArrow(emit, "bucket int, tokens binary, at binary, classes binary, sizes binary")
+    blobs = _texts(docs, id_col, text_col).mapInArrow(lean(emit), "bucket int, tokens binary, at binary, classes binary, sizes binary")
     # buckets are even hash ranges: hashing them again would lay several into one task
     blobs = blobs.repartitionById(min(1 << bits, PARTITIONS), F.col("bucket"))
     return blobs.groupBy("bucket").applyInArrow(merge, "token long, class long, size long")
@@ -229,7 +230,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     wide = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a")
     wide = wide.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
-    return wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return wide.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent:
                 tokens = pa.array([grams[start[i] : start[i + 1]].tobytes() for i in range(b - a)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(classes.view(np.int64)), tokens], names=["class", "tokens"])
 
-    sets = _texts(docs, id_col, text_col).join(chosen, "key", "left_semi").mapInArrow(run, "class long, tokens binary")
+    sets = _texts(docs, id_col, text_col).join(chosen, "key", "left_semi").mapInArrow(lean(run), "class long, tokens binary")
     with batches_of(spark, TEXT_ROWS):
         sets = stored(sets.dropDuplicates(["class"]), "sets")
     most = PAIRS * prefixes.count()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_buffers
+from .common import lean, slices, text_buffers
 from .hashing import Q, SPACE, Texts, U, mix, ngram, repeated
 
 CHUNK = 1 << 20
@@ -112,7 +112,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(got[c], pa.int64()) for c in counts)], names=["id", *counts])
 
     kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in counts)])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), kind)
 
 
 def _verdict(limits: Limits) -> tuple[Column, Column]:

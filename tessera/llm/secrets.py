@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import lean, slices, text_buffers
 
 CHUNK = 2 << 20
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -136,7 +136,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+        .mapInArrow(lean(run), f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
         .withColumnRenamed("id", id_col)
     )
 
@@ -164,7 +164,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     new[i] = b"".join([*parts, text[end:]]).decode()
             yield batch if new is None else batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def listed(spans: F.Column) -> F.Column:
