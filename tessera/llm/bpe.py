@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices, text_buffers
 
-SPACE, CACHE, LONG, CHUNK, ROWS, NEVER = "▁", 100_000, 48, 1 << 20, 4096, 1 << 40
+SPACE, CACHE, LONG, CHUNK, ROWS, NEVER = "▁", 50_000, 48, 1 << 20, 4096, 1 << 40
 _MASK = (1 << 64) - 1
 
 
