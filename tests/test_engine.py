@@ -19,6 +19,7 @@ from tessera.operators import matching as M
 from tessera.operators import retrieval as R
 from tessera.plans.queries import QUERIES, SQL
 from tessera.sources import catalog
+from tessera.sources.vectors import VectorsError, optional_vectors, read_vectors, write_vectors
 from tessera.streaming import session
 
 SF = "/root/testdata/sf0.001"
@@ -189,3 +190,23 @@ def test_questions(spark):
     assert got == {1: (None, None), 2: ("category", None), 3: ("other", None), 4: ("color", 0.2375), 5: ("size", 0.175), 6: ("size", 0.0), 7: (None, None)}
     asked = spark.createDataFrame([([], [], ["material", "feature"]), (["feature"], ["color"], ["material"]), (K.QUESTION_ORDER, [], [])], "a array<string>, n array<string>, m array<string>")
     assert [r[0] for r in asked.select(K.safe_question(F.col("a"), F.col("n"), F.col("m"))).collect()] == ["feature", "style", None]
+
+
+def test_vectors(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 2.0])], "id string, embedding array<double>")
+    names = {"model_id": "m", "model_revision": "r", "catalog_sha256": "c"}
+    path = str(tmp_path / "good")
+    write_vectors(rows, path, **names)
+    assert {r.id: [round(x, 6) for x in r.embedding] for r in read_vectors(spark, path, "c").collect()} == {"a": [0.6, 0.8], "b": [0.0, 1.0]}
+    assert optional_vectors(spark, path, "d") == ("off", None) and optional_vectors(spark, None) == ("off", None)
+    assert optional_vectors(spark, path)[0] == "on"
+    rows.write.mode("append").parquet(f"{path}/vectors")
+    with pytest.raises(VectorsError):
+        read_vectors(spark, path)
+    for k, bad in enumerate(([("a", [1.0]), ("a", [2.0])], [("a", [1.0]), ("b", [2.0, 1.0])], [])):
+        with pytest.raises(VectorsError):
+            write_vectors(spark.createDataFrame(bad, rows.schema), str(tmp_path / str(k)), **names)
+        assert optional_vectors(spark, str(tmp_path / str(k))) == ("off", None)
+    for k, bad in enumerate((None, [0.0], [float("nan")], [])):
+        with pytest.raises(Exception, match="not finite"):
+            write_vectors(spark.createDataFrame([("a", bad)], rows.schema), str(tmp_path / f"x{k}"), **names)
