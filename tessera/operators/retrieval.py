@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +68,54 @@ def popular(items: DataFrame, id_col: str, count_col: str, rating_col: str, k: i
     return scored.orderBy(F.desc("score"), F.desc("id")).limit(k).orderBy(F.desc("score"), "id")
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(qid, id, score, rank): greatest dot products, ties by id; vectors are scanned once for all queries, which are
-    a stated set that is counted before it is broadcast."""
+def dense(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1000) -> DataFrame:
+    """(qid, id, score, rank): greatest dot products, rounded to 6 places, ties by id. ``block`` queries at a time go to the
+    executors, and the vectors are scanned once for each block; a task returns the k best it has seen of each query.
+    A vector that is null or holds one has null scores, which come last."""
     each = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.select("qid", F.col(vector_col).cast("array<double>").alias("q"))
-    packed = asked.agg(F.collect_list(F.struct("qid", "q")).alias("qs")).first()["qs"]
-    if len(packed) > 1000:
-        raise ValueError("ask at most 1000 vectors at a time")
-    table = F.array(*(F.struct(F.lit(r["qid"]).cast("long").alias("qid"), F.lit([float(x) for x in r["q"]]).alias("q")) for r in packed))
-    one = each.select("id", "v", F.explode(table).alias("x")).select("id", F.col("x.qid").alias("qid"), F.aggregate(F.zip_with("v", "x.q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
-    return top(one.withColumn("score", F.round("score", 6)), k)
+    asked = queries.select("qid", F.col(vector_col).cast("array<double>").alias("q")).toArrow().combine_chunks()
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {each.schema['id'].dataType.simpleString()}, score double"
+    out = None
+    for a in range(0, max(len(asked), 1), block):
+        part = asked.slice(a, block)
+        found = each.mapInArrow(_best(part.column("qid").combine_chunks(), _matrix(part.column("q").combine_chunks()), k), kinds)
+        out = found if out is None else out.unionAll(found)
+    return top(out, k)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """A row for each list, of NaN where it is null."""
+    size = pc.list_value_length(lists).drop_null().unique().to_pylist()
+    if len(size) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(size)}")
+    out = np.full((len(lists), size[0] if size else 0), np.nan)
+    out[lists.is_valid().to_numpy(zero_copy_only=False)] = pc.list_flatten(lists).to_numpy(zero_copy_only=False).reshape(-1, out.shape[1])
+    return out
+
+
+def _best(qids: pa.Array, asked: np.ndarray, k: int, rows: int = 2048):
+    """For mapInArrow: (qid, id, score) of the k best of each query in a task's vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, ids, score = np.zeros(0, np.int64), None, np.zeros(0)
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                some = batch.slice(a, rows)
+                v = _matrix(some.column(1))
+                empty = not v.shape[1] or not asked.shape[1]
+                if not empty and v.shape[1] != asked.shape[1]:
+                    raise ValueError(f"vectors of different lengths: {sorted((v.shape[1], asked.shape[1]))}")
+                s = np.full((len(asked), len(v)), np.nan) if empty else asked @ v.T
+                s = np.where(np.isnan(s), -np.inf, np.copysign(np.floor(np.abs(s) * 1e6 + 0.5) / 1e6, s) + 0.0)
+                least = np.partition(s, -k, axis=1)[:, -k:].min(1, keepdims=True) if len(v) > k else -np.inf
+                r, at = np.nonzero(s >= least)
+                new = some.column(0).take(pa.array(at))
+                row, score, ids = np.append(row, r), np.append(score, s[r, at]), new if ids is None else pa.concat_arrays([ids, new])
+                order = np.lexsort((pc.rank(ids, tiebreaker="dense").to_numpy(), -score, row))
+                begin = np.searchsorted(row[order], np.arange(len(asked)))
+                order = order[np.arange(len(order)) - begin[row[order]] < k]
+                row, score, ids = row[order], score[order], ids.take(pa.array(order))
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), ids, pa.array(score, mask=np.isneginf(score))], names=["qid", "id", "score"])
+
+    return run

@@ -136,6 +136,24 @@ def test_batch_fold_equals_stream(spark, tmp_path):
     assert {(r["conv_id"], r["turn"]): r["state"] for r in spark.table("folded").collect()} == want
 
 
+def test_dense_answers_the_whole_query_set_in_blocks(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = sorted(r["vec_id"] for r in v.filter("vec_id % 50 = 0").collect())
+    assert sorted({r["qid"] for r in QUERIES["dense_topk_whole"](spark, SF).collect()}) == want
+    rows = [(i, [float(i % 7), float(i % 3) - 1, 0.5]) for i in range(1203)] + [(1203, None)]
+    many = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k, block in ((4, 1000), (1300, 500)):
+        asked = many.filter("vec_id % 400 = 0" if k > 4 else "true").withColumnRenamed("vec_id", "qid")
+        got = {}
+        for r in R.dense(many, asked, k, block=block).collect():
+            got.setdefault(r["qid"], {})[r["rank"]] = r["id"], r["score"]
+        assert len(got) == asked.count()
+        for q, found in got.items():
+            score = lambda v: None if v is None or rows[q][1] is None else round(sum(x * y for x, y in zip(v, rows[q][1])), 6)
+            all_ = sorted(((i, score(v)) for i, v in rows), key=lambda x: math.inf if x[1] is None else -x[1])  # stable: ties by id
+            assert [found[n + 1] for n in range(len(found))] == all_[:k]
+
+
 def test_entry(spark):
     assert isinstance(entry.entry(spark).toPandas(), pd.DataFrame)
     assert set(entry.oracle_sql()) <= set(entry.queries())
