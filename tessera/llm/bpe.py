@@ -2,15 +2,18 @@
 
 A text gets a space before it, spaces become ``▁``, and characters are merged by an
 agenda: the best-scored pair whose joint string is a piece merges first, the leftmost of
-equals. Under dropout a popped candidate is skipped when a keyed hash of (seed, lane, word,
-span) is below ``dropout``; the same seed gives the same segmentation on any cluster, another
-seed another one. A text's lane, of ``lanes``, follows from its id, so a word is segmented in
-several ways within one run too. What no piece covers becomes byte pieces, so decoding
-returns every text exactly, a literal ``▁`` included (it goes as bytes).
-
-Words (and parts of them between which no piece reaches) are independent: segmented once per
-lane, many words in lockstep, and kept by each Python worker, twice ``CACHE`` words and those of one
-chunk at most. No shuffle; memory is one batch.
+equals. Under dropout a popped candidate is skipped when a hash of its span, keyed by (seed,
+row id, word's place in the text), is below ``dropout``: every occurrence of a word is decided
+on its own. The same seed gives the same segmentation on any cluster, another seed another one.
+What no piece covers becomes byte pieces, so decoding returns every text exactly, a literal
+``▁`` included (it goes as bytes).
+
+Words (and parts of them between which no piece reaches) are independent. Which pieces a word gives
+depends only on the candidates that were skipped, so each Python worker keeps a tree of them: a
+node is a word and its skips so far, with the candidates that come next if none is skipped and the ids that they
+lead to. An occurrence hashes a node's candidates and goes on to the child of the first one skipped. What is met for the first
+time and once in a chunk is merged on its own, without a node. New nodes, and the words without one, are made many at a
+time in lockstep; ``CACHE`` nodes and those of one chunk are kept at most. No shuffle; memory is one batch.
 
 Null texts have null ids and decode to null; empty texts have no ids. Repeated rows are
 encoded alike; all other columns are ignored.
@@ -22,9 +25,11 @@ import hashlib
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices, text_buffers
 
-SPACE, CACHE, LONG, CHUNK, ROWS, NEVER = "▁", 50_000, 48, 1 << 20, 4096, 1 << 40
+SPACE, CACHE, LONG, CHUNK, ROWS, NEVER = "▁", 100_000, 48, 1 << 20, 4096, 1 << 40
 _MASK = (1 << 64) - 1
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
@@ -135,12 +141,46 @@ class Lockstep:
         order = np.argsort(size, kind="stable")
         for a in range(0, len(order), ROWS):
             some = order[a : a + ROWS]
-            flat, count = self._rows(points, start[some], size[some], keys[some], least)
+            own = keys[some]
+            flat, count = self._rows(points, start[some], size[some], lambda live, code: (own[live] ^ code) * _MIX < np.uint64(least) if least else None)
             raw, end = flat.tobytes(), (4 * np.cumsum(count)).tolist()
             for i, x, y in zip(some.tolist(), [0, *end], end):
                 out[i] = raw[x:y]
         return out
 
+    def nodes(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, ...]:
+        """Order in which the words are given back, ids and their counts, and the candidates popped after the last of
+        a word's ``skips`` and their counts."""
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        order = np.argsort(size, kind="stable")
+        made = []
+        for a in range(0, len(order), ROWS):
+            some = order[a : a + ROWS]
+            own = [skips[i] for i in some.tolist()]
+            left = np.fromiter(map(len, own), np.int64, len(own))
+            table = np.zeros((len(own), int(left.max())), np.uint64)  # 0 is no candidate
+            table[np.arange(table.shape[1]) < left[:, None]] = np.fromiter(chain.from_iterable(own), np.uint64, int(left.sum()))
+            rows, codes = [], []
+
+            def skip(live: np.ndarray, code: np.ndarray, table=table, left=left, rows=rows, codes=codes) -> np.ndarray | None:
+                if not table.shape[1]:
+                    rows.append(live)
+                    codes.append(code)
+                    return None
+                out = (table[live] == code[:, None]).any(1)
+                after = left[live] == 0
+                rows.append(live[after])
+                codes.append(code[after])
+                left[live[out]] -= 1
+                return out
+
+            ids, count = self._rows(points, start[some], size[some], skip)
+            row, code = np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.uint64), *codes])
+            made.append((ids, count, code[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(some))))
+        return order, *map(np.concatenate, zip(*made))
+
     def _spelled(self, ids: np.ndarray, points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their rows, characters without a piece (-1) as bytes."""
         bare = ids < 0
@@ -159,7 +199,7 @@ class Lockstep:
         out[spell] = self.bytes[table[which[token[spell]], place[spell]]]
         return out, row[token]
 
-    def _rows(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def _rows(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, skipped) -> tuple[np.ndarray, np.ndarray]:
         rows, width = len(size), int(size.max())
         place = np.arange(width)
         inside = place < size[:, None]
@@ -179,10 +219,9 @@ class Lockstep:
             b = end[live, a]
             c = end[live, b]
             go = live
-            if least:
-                mixed = (keys[live] ^ (a.astype(np.uint64) << np.uint64(42)) ^ (b.astype(np.uint64) << np.uint64(21)) ^ c.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-                merge = mixed >= np.uint64(least)
-                skip = ~merge
+            skip = skipped(live, (a << 42 ^ b << 21 ^ c).astype(np.uint64))
+            if skip is not None:
+                merge = ~skip
                 rank[live[skip], a[skip]] = NEVER
                 go, a, b, c = live[merge], a[merge], b[merge], c[merge]
             now = joint[go, a]
@@ -200,30 +239,60 @@ class Lockstep:
         return ids, np.bincount(row, minlength=rows)
 
 
+class Runs:
+    """Runs of a flat array; more are added at the end."""
+
+    def __init__(self, kind: type):
+        self.flat, self.end = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, count: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat])
+        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(count)])
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of ``which`` one after another, and their lengths."""
+        start, count = self.end[which], self.end[which + 1] - self.end[which]
+        return self.flat[np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)], count
+
+    def keep(self, which: np.ndarray) -> None:
+        self.flat, count = self.take(which)
+        self.end = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+
+
 @dataclass
 class Coder:
     vocabulary: Vocabulary
     seed: int = 0
     dropout: float = 0.0
-    lanes: int = 2
-    #: by lane, two generations; a Python worker keeps them over its tasks. Key None: a literal ``▁``
-    young: list[dict[str | None, bytes]] = field(default_factory=list)
-    old: list[dict[str | None, bytes]] = field(default_factory=list)
+    #: node of a word without skips; key None: a literal ``▁``
+    root: dict[str | None, int] = field(default_factory=dict)
+    #: node by its parent's number * 64 + place of the skip among the parent's candidates
+    child: dict[int, int] = field(default_factory=dict)
+    #: hashes of words and keys of ``child`` that were met once
+    seen: set[int] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         self.least = int(self.dropout * (1 << 64))
-        self.lanes = self.lanes if self.least else 1
         self.words = self.vocabulary.words()
         self.lockstep = Lockstep(self.vocabulary)
         v = self.vocabulary
-        self.mark = self._bytes(SPACE)
-        self.young, self.old = ([{None: self.mark} for _ in range(self.lanes)] for _ in range(2))
         self.raw = [p.replace(SPACE, " ").encode() for p in v.pieces]
         for b, i in enumerate(v.byte_ids):
             self.raw[i] = bytes([b])
-
-    def _bytes(self, text: str) -> bytes:
-        return b"".join(struct.pack("<i", self.vocabulary.byte_ids[b]) for b in text.encode())
+        #: of each node: ids, candidates, word and skips, key in ``child`` (-1: a root), uses
+        self.ids, self.steps, self.made, self.link, self.uses = Runs(np.int32), Runs(np.uint64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._add([(None, ())], [-1], np.array([v.byte_ids[b] for b in SPACE.encode()], np.int32), np.array([3]), np.zeros(0, np.uint64), np.zeros(1, np.int64))
+
+    def _add(self, made: list, link: list[int], ids: np.ndarray, n_ids: np.ndarray, steps: np.ndarray, n_steps: np.ndarray) -> None:
+        for n, ((word, _), via) in enumerate(zip(made, link), len(self.made)):
+            if via < 0:
+                self.root[word] = n
+            else:
+                self.child[via] = n
+        self.made += made
+        self.link, self.uses = np.append(self.link, np.array(link, np.int64)), np.append(self.uses, np.zeros(len(made), np.int64))
+        self.ids.add(ids, n_ids)
+        self.steps.add(steps, n_steps)
 
     def _split(self, text: str) -> list[str | None]:
         if not text:
@@ -236,48 +305,101 @@ class Coder:
             out += self.words.findall(part if k else SPACE + part)
         return out
 
-    def _learn(self, lane: int, words: set[str | None]) -> list[str]:
-        """Have ``young`` know all ``words``; those too long to keep."""
-        young, old = self.young[lane], self.old[lane]
-        new = []
-        for w in words:
-            if (out := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = out
-        seed = (self.seed * self.lanes + lane) & _MASK
-        keys = [xxhash.xxh64_intdigest(w.encode(), seed) for w in new] if self.least else [0] * len(new)
-        short = [i for i, w in enumerate(new) if len(w) <= LONG]
+    def _learn(self, made: list[tuple[str, tuple[int, ...]]], link: list[int]) -> None:
+        """Nodes of words under skips."""
+        if made:
+            order, *found = self.lockstep.nodes([w for w, _ in made], [s for _, s in made])
+            self._add([made[i] for i in order.tolist()], [link[i] for i in order.tolist()], *found)
+
+    def _trim(self) -> None:
+        """The most used nodes stay, half of ``CACHE`` at most, and their parents, which are used as often at least."""
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        if len(self.made) <= CACHE:
+            return
+        self.seen.clear()
+        self.uses[0] = 1 << 62  # the literal mark
+        often = max(2, int(np.partition(self.uses, -(CACHE // 2))[-(CACHE // 2)]) + 1)
+        which = np.flatnonzero(self.uses >= often)
+        now = np.full(len(self.made), -1)
+        now[which] = np.arange(len(which))
+        link = self.link[which]
+        self.link = np.where(link < 0, -1, now[link >> 6] << 6 | link & 63)
+        self.made, self.uses = [self.made[i] for i in which.tolist()], self.uses[which] >> 1
+        self.ids.keep(which)
+        self.steps.keep(which)
+        self.root = {w: i for i, ((w, _), via) in enumerate(zip(self.made, self.link.tolist())) if via < 0}
+        self.child = {via: i for i, via in enumerate(self.link.tolist()) if via >= 0}
+
+    def _again(self, key: int, count: int) -> bool:
+        """Whether this is worth a node: met more than once."""
+        if count > 1 or key in self.seen:
+            return True
+        self.seen.add(key)
+        return False
+
+    def _walk(self, node: np.ndarray, keys: np.ndarray) -> None:
+        """Every occurrence at a node goes on to the node where none of its candidates is skipped; -1 if that has none."""
+        some = np.flatnonzero(node >= 0)
+        while len(some):
+            codes, count = self.steps.take(node[some])
+            row = np.repeat(np.arange(len(some)), count)
+            low = np.flatnonzero((keys[some][row] ^ codes) * _MIX < np.uint64(self.least))
+            first = low[np.append(True, row[low][1:] != row[low][:-1])] if len(low) else low
+            place = first - (np.cumsum(count) - count)[row[first]]
+            some = some[row[first]]
+            links, at, met = np.unique(node[some] << 6 | place, return_inverse=True, return_counts=True)
+            new = [x for x, n in zip(links.tolist(), met.tolist()) if x not in self.child and self._again(x, n)]
+            steps, end = self.steps.flat, self.steps.end
+            self._learn([(w, (*skips, int(steps[end[x >> 6] + (x & 63)]))) for x in new for w, skips in (self.made[x >> 6],)], new)
+            kids = np.fromiter(map(self.child.get, links.tolist(), repeat(-1)), np.int64, len(links))
+            node[some] = kids[at]
+            some = some[node[some] >= 0]
+            self.uses += np.bincount(node[some], minlength=len(self.uses))
+
+    def _apart(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single occurrences one after another, and their counts."""
+        out = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
         if short:
-            young.update(zip([new[i] for i in short], self.lockstep.run([new[i] for i in short], np.array([keys[i] for i in short], np.uint64), self.least)))
-        ids = self.vocabulary.ids
-        for w, key in zip(new, keys):
+            for i, raw in zip(short, self.lockstep.run([words[i] for i in short], keys[short], self.least)):
+                out[i] = raw
+        v, kept = self.vocabulary, {}
+        for i, w in enumerate(words):
             if len(w) > LONG:
-                young[w] = b"".join([struct.pack("<i", i) if (i := ids.get(p)) is not None else self._bytes(p) for p in segment(w, self.vocabulary.scores, key, self.least)])
-        return [w for w in new if len(w) > LONG]
-
-    def encode_all(self, texts: list[str], lanes: list[int]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        lanes = [x % self.lanes for x in lanes]
+                at = w, int(keys[i])
+                if at not in kept:
+                    kept[at] = b"".join(struct.pack("<i", x) for p in segment(w, v.scores, at[1], self.least) for x in ([v.ids[p]] if p in v.ids else [v.byte_ids[b] for b in p.encode()]))
+                out[i] = kept[at]
+        return np.frombuffer(b"".join(out), "<i4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers. ``keys``: 64 bits of each text's row."""
         split = [self._split(t) for t in texts]
-        long: list[list[str]] = []
-        for lane in range(self.lanes):
-            new: set[str | None] = set()
-            for words, own in zip(split, lanes):
-                if own == lane:
-                    new.update(words)
-            new.difference_update(self.young[lane])
-            long.append(self._learn(lane, new))
-        out = [b"".join(map(self.young[lane].__getitem__, words)) for words, lane in zip(split, lanes)]
-        for lane, words in enumerate(long):
-            for w in words:
-                del self.young[lane][w]
-            if len(self.young[lane]) >= CACHE // self.lanes:
-                self.old[lane], self.young[lane] = self.young[lane], {None: self.mark}
-        return out
-
-    def encode(self, text: str, lane: int = 0) -> bytes:
-        return self.encode_all([text], [lane])[0]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        node = np.fromiter(map(self.root.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(node < 0).tolist()
+        new = [w for w, n in Counter([words[i] for i in unknown]).items() if len(w) <= LONG and self._again(hash(w), n)]
+        self._learn([(w, ()) for w in new], [-1] * len(new))
+        node[unknown] = [self.root.get(words[i], -1) for i in unknown]
+        self.uses += np.bincount(node[node >= 0], minlength=len(self.uses))
+        own = occurrences(np.array(keys, np.uint64), size) if self.least else np.zeros(len(words), np.uint64)
+        if self.least:
+            self._walk(node, own)
+        apart = np.flatnonzero(node < 0)
+        node[apart] = len(self.made) + np.arange(len(apart))
+        ids = Runs(np.int32)
+        ids.flat, ids.end = self.ids.flat, self.ids.end
+        ids.add(*self._apart([words[i] for i in apart.tolist()], own[apart]))
+        flat, count = ids.take(node)
+        raw = flat.astype("<i4", copy=False).tobytes()
+        end = (4 * np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])[np.cumsum(size)]).tolist()
+        self._trim()
+        return [raw[x:y] for x, y in zip([0, *end], end)]
+
+    def encode(self, text: str, key: int = 0) -> bytes:
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode()[1:]
@@ -288,20 +410,25 @@ _KEPT: dict[tuple, Coder] = {}
 
 def _kept(coder: Coder) -> Coder:
     """This worker's coder of the same settings, with what it has cached."""
-    key = coder.seed, coder.dropout, coder.lanes, zlib.crc32("\0".join(coder.vocabulary.pieces).encode())
+    key = coder.seed, coder.dropout, zlib.crc32("\0".join(coder.vocabulary.pieces).encode())
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = coder
     return _KEPT[key]
 
 
-def lane_of(key: object) -> int:
-    return zlib.crc32(str(key).encode())
+def occurrences(keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits for each word of each text, from its text's and its place (the finaliser of SplitMix64)."""
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    x = np.repeat(keys, size) + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
-def encode(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, lanes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and ``ids`` (array of int) of every row. ``path``: the model file, read on the driver."""
-    return _run(docs, Coder(Vocabulary.load(path), seed, dropout, lanes), id_col, text_col, "ids array<int>", lambda c, raw, ids: (np.frombuffer(ids, "<i4"),), [pa.list_(pa.int32())])
+    return _run(docs, Coder(Vocabulary.load(path), seed, dropout), id_col, text_col, "ids array<int>", lambda c, raw, ids: (np.frombuffer(ids, "<i4"),), [pa.list_(pa.int32())])
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -317,7 +444,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(lean(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, lanes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, decode its ids: n_tokens, ids_sha256 (of 32-bit little-endian ids), decoded_sha256, lossless."""
 
     def both(c: Coder, raw: bytes, ids: bytes) -> tuple:
@@ -325,7 +452,7 @@ def round_trip(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1,
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw
 
     kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
-    return _run(docs, Coder(Vocabulary.load(path), seed, dropout, lanes), id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean", both, kinds)
+    return _run(docs, Coder(Vocabulary.load(path), seed, dropout), id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean", both, kinds)
 
 
 def _run(docs: DataFrame, coder: Coder, id_col: str, text_col: str, schema: str, each, kinds: list) -> DataFrame:
@@ -339,7 +466,7 @@ def _run(docs: DataFrame, coder: Coder, id_col: str, text_col: str, schema: str,
             data, off = text_buffers(batch.column(1))
             for a, b in slices(off, CHUNK):
                 raw = [data[off[i] : off[i + 1]].tobytes() for i in range(a, b)]
-                ids = coder.encode_all([r.decode() for r in raw], [lane_of(k) for k in keys[a:b]])
+                ids = coder.encode_all([r.decode() for r in raw], [xxhash.xxh64_intdigest(str(k), coder.seed & _MASK) for k in keys[a:b]])
                 got = [each(coder, r, x) if v else (None,) * len(kinds) for r, x, v in zip(raw, ids, valid[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(zip(*got), kinds))], names=names)
 

@@ -246,6 +246,29 @@ def test_sentencepiece(spark):
     assert bpe.encode(docs(spark).limit(0), queries.PIECES).count() == 0
 
 
+def test_dropout_is_decided_for_each_occurrence(spark, monkeypatch):
+    v = bpe.Vocabulary.load(queries.PIECES)
+    long = " " + "strangepotions" * 5
+    texts = ["strange potions, bridges " * 40 + "▁日" + long * 3, "strange bridges" + long, "strange potions, bridges " * 40]
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    for seed, dropout in ((1, 0.1), (2, 0.5)):
+        coder = bpe.Coder(v, seed, dropout)
+        keys = [bpe.xxhash.xxh64_intdigest(str(k), seed) for k in range(len(texts))]
+        for _ in range(2):  # with and without what is kept
+            for text, key, raw in zip(texts, keys, coder.encode_all(texts, keys)):
+                words = coder._split(text)
+                want = []
+                for w, own in zip(words, bpe.occurrences(np.array([key], np.uint64), np.array([len(words)])).tolist()):
+                    want += [v.byte_ids[b] for b in "▁".encode()] if w is None else [i for p in bpe.segment(w, v.scores, own, coder.least) for i in ([v.ids[p]] if p in v.ids else [v.byte_ids[b] for b in p.encode()])]
+                assert np.frombuffer(raw, "<i4").tolist() == want
+                assert coder.decode(raw) == text
+    rows = [(i, "strange potions") for i in range(200)]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), queries.PIECES, 1, 0.3).collect()
+    assert len({tuple(r["ids"]) for r in got}) > 4  # more ways than two lanes gave
+    one = bpe.encode(spark.createDataFrame([(0, "strange " * 200)], "doc_id long, text string"), queries.PIECES, 1, 0.3).first()["ids"]
+    assert len({tuple(one[i : i + 2]) for i in range(len(one) - 1)}) > 4
+
+
 def test_hilbert_curve_moves_one_cell_at_a_time():
     cell = sorted(range(4096), key=shards.curve(3, 4).__getitem__)
     at = [(c >> 8, c >> 4 & 15, c & 15) for c in cell]
