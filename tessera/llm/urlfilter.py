@@ -7,8 +7,8 @@ key's answer is the parity of the first level that it fails, exact for all keys
 universe, and needs no join: the bit arrays reach the executors as scalar subqueries.
 
 A level holds ``BITS_PER_KEY`` bits for each key it encodes, so a cascade grows with the
-list alone; its first level is refused above ``MAX_BITS`` bits (64 MB), a proven
-bound of what each executor holds. Larger lists go into several cascades (split the list).
+list alone. A level has at most ``MAX_BITS`` bits (64 MB); larger lists are split by a hash
+of the key into several cascades. Each executor holds all of their levels.
 Levels are written to the shared folder, and lost executors read them again.
 
 Null urls and urls without ``://`` have an empty host and path; an empty list blocks
@@ -57,6 +57,8 @@ class Level:
     bits: int
     seed: int
     table: DataFrame  # one row: words array<bigint>
+    part: int = 0  # of the cascade, by ``_part`` of its keys
+    parts: int = 1
 
 
 def _place(key: Column, level_bits: int, seed: int, k: int) -> Column:
@@ -64,17 +66,23 @@ def _place(key: Column, level_bits: int, seed: int, k: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(HASHES * seed + k), key), F.lit(level_bits).cast("long"))
 
 
-def _build(keys: DataFrame, count: int, seed: int) -> Level:
-    bits = max(64, -(-BITS_PER_KEY * count // 64) * 64)
-    if bits > MAX_BITS:
-        raise ValueError(f"{count} keys need more than {MAX_BITS} bits: split the list")
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts).cast("long"))
+
+
+def _bits(count: int) -> int:
+    return max(64, -(-BITS_PER_KEY * count // 64) * 64)
+
+
+def _build(keys: DataFrame, count: int, seed: int, part: int, parts: int) -> Level:
+    bits = _bits(count)
     spark = keys.sparkSession
     places = keys.select(F.explode(F.array(*(_place(F.col("key"), bits, seed, k) for k in range(HASHES)))).alias("p"))
     ones = places.select(F.expr("p div 64").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("v"))
     zeros = spark.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("v"))
     words = ones.unionByName(zeros).groupBy("word").agg(F.bit_or("v").alias("v"))
     row = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "v"))), lambda x: x["v"]).alias("words"))
-    return Level(bits, seed, stored(row, "bloom"))
+    return Level(bits, seed, stored(row, "bloom"), part, parts)
 
 
 def _passes(key: Column, level: Level) -> Column:
@@ -86,13 +94,31 @@ def _passes(key: Column, level: Level) -> Column:
 
 
 def cascade(universe: DataFrame) -> list[Level]:
-    """``universe``: distinct (key, listed) of all keys that will be asked."""
-    levels: list[Level] = []
+    """``universe``: distinct (key, listed) of all keys that will be asked. As many cascades, by a hash of the key, as
+    keep each level within ``MAX_BITS``."""
     universe = stored(universe, "universe")
+    parts = -(-_bits(universe.filter("listed").count()) // MAX_BITS)
+    while True:
+        levels: list[Level] = []
+        for part in range(parts):
+            some = universe.filter(_part(F.col("key"), parts) == part) if parts > 1 else universe
+            if (own := _cascade(some, part, parts)) is None:
+                break
+            levels += own
+        else:
+            return levels
+        parts = parts * 5 // 4 + 1
+
+
+def _cascade(universe: DataFrame, part: int, parts: int) -> list[Level] | None:
+    """None if a level would need more than ``MAX_BITS``."""
+    levels: list[Level] = []
     inside, outside = universe.filter("listed").select("key"), universe.filter("not listed").select("key")
     count = inside.count()
     while count:
-        level = _build(inside, count, 2 * len(levels) + 1)
+        if _bits(count) > MAX_BITS:
+            return None
+        level = _build(inside, count, 2 * len(levels) + 1, part, parts)
         levels.append(level)
         wrong = stored(outside.filter(_passes(F.col("key"), level)), "wrong")
         inside, outside, count = wrong, inside, wrong.count()
@@ -100,7 +126,17 @@ def cascade(universe: DataFrame) -> list[Level]:
 
 
 def member(key: Column, levels: list[Level]) -> Column:
-    """Whether a key of the universe is listed: it is if it fails first at an even level, or at none of an odd number."""
+    """Whether a key of the universe is listed: it is if it fails first at an even level of its cascade, or at none of an
+    odd number."""
+    parts = levels[0].parts if levels else 1
+    each = [_member(key, [x for x in levels if x.part == part]) for part in range(parts)]
+    answer = each[0]
+    for part in range(1, parts):
+        answer = F.when(_part(key, parts) == part, each[part]).otherwise(answer)
+    return answer
+
+
+def _member(key: Column, levels: list[Level]) -> Column:
     answer = F.lit(len(levels) % 2 == 1)
     for i in range(len(levels) - 1, -1, -1):
         answer = F.when(_passes(key, levels[i]), answer).otherwise(F.lit(i % 2 == 1))

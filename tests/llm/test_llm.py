@@ -202,6 +202,15 @@ def test_bloom_cascade_is_exact(spark):
     assert universe.filter(urlfilter.member(F.col("key"), levels) != F.col("listed")).count() == 0
 
 
+def test_long_lists_take_several_cascades(spark, monkeypatch):
+    universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
+    monkeypatch.setattr(urlfilter, "MAX_BITS", urlfilter.BITS_PER_KEY * 300)
+    levels = urlfilter.cascade(universe)
+    assert levels[0].parts > 1 and {x.part for x in levels} == set(range(levels[0].parts))
+    assert all(x.bits <= urlfilter.MAX_BITS for x in levels)
+    assert universe.filter(urlfilter.member(F.col("key"), levels) != F.col("listed")).count() == 0
+
+
 def naive(word, scores, key, least):
     parts = [(i, i + 1) for i in range(len(word))]
     mask, skipped = (1 << 64) - 1, set()
