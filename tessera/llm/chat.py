@@ -6,7 +6,7 @@ prefixes, so the output keeps each turn's formatted segment once, with the runni
 length of what stands before it: example k is the first ``context_chars`` characters of
 its conversation and then its own segment, the mask is ``[target_start, target_end)`` of
 that text. This stays linear in the input, however long a conversation is;
-:func:`materialise` writes the full prompts out where a trainer wants them.
+:func:`materialise` writes the full prompts out, and :func:`digest` reads them.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles a backslash is
 doubled and ``<|`` becomes ``<\\|`` (a line end in a role ``<\\/>``), so control strings in
@@ -85,12 +85,15 @@ def materialise(expanded: DataFrame) -> DataFrame:
 
 
 def digest(expanded: DataFrame) -> DataFrame:
-    """What the output says of each conversation, by reading it back."""
-    back = read_back(expanded)
-    grouped = back.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text", "trained"))).alias("t"), F.coalesce(F.sum("example_chars"), F.lit(0)).alias("formatted_chars"))
-    loss = F.array_join(F.filter(F.transform("t", lambda x: x["trained"]), lambda x: x.isNotNull()), "")
-    turns = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    return grouped.select(
-        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    """What the output says of each conversation: the turns by reading segments back, what is trained on and
+    ``formatted_chars`` by writing every example out whole and reading its reply back."""
+    turns = read_back(expanded).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("t"))
+    masked = F.substr("prompt", (F.col("target_start") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int"))
+    examples = materialise(expanded).select("conv_id", "example", unescape(masked).alias("trained"), F.length("prompt").cast("long").alias("chars"))
+    replies = examples.groupBy(F.col("conv_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("example", "trained"))).alias("r"), F.sum("chars").alias("chars"))
+    loss = F.coalesce(F.array_join(F.transform("r", lambda x: x["trained"]), ""), F.lit(""))
+    said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return turns.join(replies, F.col("conv_id").eqNullSafe(F.col("_of")), "left").select(
+        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.coalesce("chars", F.lit(0)).alias("formatted_chars"),
     )

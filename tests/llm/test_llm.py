@@ -184,6 +184,17 @@ def test_chat(spark):
     assert chat.digest(chat.expand(turns.limit(0))).count() == 0
 
 
+def test_chat_digest_reads_whole_examples(spark, monkeypatch):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (1, 0, "user", "qq"), (1, 1, "assistant", "b")]
+    out = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = {r["conv_id"]: r["prompt"] for r in chat.materialise(out).collect()}
+    got = {r["conv_id"]: (r["loss_chars"], r["formatted_chars"]) for r in chat.digest(out).collect()}
+    assert got == {c: (1, len(p)) for c, p in whole.items()}
+    real = chat.materialise
+    monkeypatch.setattr(chat, "materialise", lambda x: real(x).filter("conv_id = 1"))
+    assert {r["conv_id"]: r["formatted_chars"] for r in chat.digest(out).collect()} == {None: 0, 1: len(whole[1])}
+
+
 def test_url_filters(spark):
     urls = [None, "", "nope", "http://A.Example.NET/en/x?q=/de/", "https://x.net", "https://x.net#/", "ftp://example.com/de/a#b", "http://m.adult-x.example.com/de", "http://a.org/fr/://", "http://b.org?x", "http://notexample.com/de/"]
     pages = spark.createDataFrame(list(enumerate([*urls, urls[3]])), "page_id long, url string").withColumn("key", F.lit(1))
