@@ -3,7 +3,8 @@
 A text's set is its distinct word n-grams, as 64-bit hashes. Texts of equal sets form a
 class; only classes are joined. Sets of sizes a and b reach similarity t only if they
 overlap in at least ``ceil(t * max(a, b))`` tokens, so under any global order of tokens their
-first ``n - ceil(t * n) + 1`` must share one. Candidates must do so under
+first ``n - ceil(t * n) + 1`` must share one. A pair of classes is verified only if it passes this
+filter under each of three orders:
 
 * order A, rarest first, ties by hash: tokens are shuffled as compact blobs by hash range and
   counted in numpy; a token of one class alone goes, as it can only stand first. A class
@@ -11,20 +12,23 @@ first ``n - ceil(t * n) + 1`` must share one. Candidates must do so under
   pair is made; twice, since each round lowers the counts. Passages that many texts share
   end last in this order, so they make no candidates. Two sets meet only where, were it
   their first common token, those from it on could still make up the overlap;
-* orders B and C, by two hashes, when a pair is looked at.
+* orders B and C, by two hashes: the prefixes are kept beside the sets as 32-bit numbers, and pairs
+  whose prefixes are disjoint under either order go before a whole set is moved.
 
-Pairs that pass all orders are verified by intersecting whole sets.
+What passes all orders is verified by intersecting whole sets.
 
-Components are exact, yet never all pairs of a group are made. Each token group compares its
-members with one center, that of the fewest tokens of its own; members that link join the
-center's component, the center leaves the group, and a group within one component is
-done. When at most ``PAIRS`` pairs for each indexed token can remain, all pairs between
-components are compared at once.
-Connected components alternate large and small stars on written tables.
+Components are exact, yet never all pairs of a group are made. Each round compares the members
+of a token's group with a few centers, classes of no component yet before others; members that
+link join the center's component, centers leave the group, and a group within one component is
+done. The number of centers doubles by round up to ``CENTERS``. Only the labels that new links
+connect take part in connected components (large and small stars on written tables).
 
-Memory: a task holds one bucket of about ``BUCKET`` tokens, or a batch of ``PAIR_ROWS`` pairs of sets;
-the number of buckets follows the input. Hashes have 64 bits: the odds that any two of 10**9 classes are
-taken for one are 3 %, those of a wrong link far lower.
+Hot tokens: a token of many classes in one flush of a task (``HOT``) is spread over all buckets, and a
+marker keeps its own bucket's count right; a bucket beyond ``HELD`` tokens streams those known to
+be shared. Both may repeat a (token, class), so those rows, and only those, are made distinct
+afterwards. Memory: a task holds a bucket of about ``BUCKET`` tokens, ``HELD`` at most besides the distinct ones,
+or a batch of ``PAIR_ROWS`` pairs of sets; the number of buckets follows the input. Hashes have 64 bits: the
+odds that any two of 10**9 classes are taken for one are 3 %, those of a wrong link far lower.
 
 Null texts and texts without words have empty sets and are linked with nothing. Texts of
 fewer than n words have one token, their whole sequence. Equal rows share a component.
@@ -42,7 +46,11 @@ from pyspark.sql import functions as F
 from .common import batches_of, lean, release, slices, stored, text_buffers
 from .hashing import Q, Texts, U, mix, ngram
 
-CHUNK, BUCKET, FLUSH, PAIRS, BROADCAST_ROWS = 1 << 20, 1 << 19, 1 << 19, 64, 500_000
+CHUNK, BUCKET, FLUSH, BROADCAST_ROWS = 1 << 20, 1 << 19, 1 << 19, 500_000
+#: tokens of a bucket that are sorted at once; a token is hot in a flush with so many classes of it, and one in so many of the flush's
+HELD, HOT, HOT_SHARE = 1 << 23, 16, 256
+#: centers of a group in a round, at most
+CENTERS = 64
 #: tasks that merge buckets, at most; beyond it a task takes several, one after the other
 PARTITIONS = 1 << 14
 #: rows of a batch that Python gets: texts, pairs of sets
@@ -108,27 +116,102 @@ def classify(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     return _texts(docs, id_col, text_col).mapInArrow(lean(run), f"key long, id {kind}, size long, class long")
 
 
+def _planes(tok: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tok.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _blob(bucket: int, hot: bool, tok: np.ndarray, cls: np.ndarray, size: np.ndarray) -> tuple:
+    some, first, at = np.unique(cls, return_index=True, return_inverse=True)
+    return bucket, hot, _planes(tok), at.astype(np.uint16 if len(some) < 65536 else np.uint32).tobytes(), some.tobytes(), size[first].astype(np.uint32).tobytes()
+
+
+def _postings(planes: bytes, at: bytes, some: bytes, size: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    tok = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(U).ravel()
+    classes = np.frombuffer(some, U)
+    where = np.frombuffer(at, np.uint16 if len(classes) < 65536 else np.uint32)
+    return tok, classes[where], np.frombuffer(size, np.uint32)[where]
+
+
+class Bucket:
+    """The tokens of one hash range. A posting of size 0 marks a token that is hot elsewhere."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.count, self.known, self.over = 0, np.zeros(0, U), False
+
+    def add(self, part: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+        self.held.append(part)
+        self.count += len(part[0])
+        if self.count > HELD:
+            self.over = True
+            yield self.flush()
+
+    def flush(self) -> tuple[np.ndarray, ...]:
+        """(token, class, size, again) of tokens known to have two classes or more; tokens of one stay held."""
+        tok, c, s = (np.concatenate(x) for x in zip(*self.held))
+        more = self._shared(tok)
+        if not self.over:  # tokens alone go before the slower sort
+            tok, c, s = tok[more], c[more], s[more]
+        order = np.lexsort((c, tok))
+        tok, c, s = tok[order], c[order], s[order]
+        new = np.ones(len(tok), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (c[1:] != c[:-1])
+        tok, c, s = tok[new], c[new], s[new]
+        more = self._shared(tok)
+        marked = s == 0
+        again = np.isin(tok, tok[marked]) | self.over
+        out = more & ~marked
+        rest = ~more
+        self.held, self.count = [(tok[rest], c[rest], s[rest])], int(rest.sum())
+        if self.over:
+            self.known = np.union1d(self.known, tok[more])
+        return tok[out], c[out], s[out], again[out]
+
+    def _shared(self, tok: np.ndarray) -> np.ndarray:
+        order = np.argsort(tok, kind="stable")
+        sorted_ = tok[order]
+        same = sorted_[1:] == sorted_[:-1]
+        more = np.zeros(len(tok), bool)
+        more[1:] |= same
+        more[:-1] |= same
+        out = np.empty(len(tok), bool)
+        out[order] = more
+        return out | np.isin(tok, self.known) if len(self.known) else out
+
+
 def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """(token, class, size): tokens that two classes or more have."""
+    """(token, class, size, again): tokens that two classes or more have. Rows of ``again`` may be repeated."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         shift = U(64 - bits)
+        turn = TaskContext.get().partitionId() * 7919
 
         def flush() -> pa.RecordBatch:
+            nonlocal turn
             tok, cls, size = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(tok, kind="stable")
             tok, cls, size = tok[order], cls[order], size[order]
+            begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            run = np.diff(np.concatenate([begin, [len(tok)]]))
+            long = run >= max(HOT, len(np.unique(cls)) // HOT_SHARE)
+            rows = []
+            if long.any():
+                hot = np.repeat(long, run)
+                rows.append(_blob(turn % (1 << bits), True, tok[hot], cls[hot], size[hot]))
+                turn += 1
+                marks = tok[begin[long]]
+                tok, cls, size = np.concatenate([tok[~hot], marks]), np.concatenate([cls[~hot], np.zeros(len(marks), U)]), np.concatenate([size[~hot], np.zeros(len(marks), size.dtype)])
+                order = np.argsort(tok, kind="stable")
+                tok, cls, size = tok[order], cls[order], size[order]
             bucket = (tok >> shift).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket)) + 1
-            rows = []
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(tok)]):
-                some, first, at = np.unique(cls[a:b], return_index=True, return_inverse=True)
-                planes = np.ascontiguousarray(tok[a:b].view(np.uint8).reshape(-1, 8).T).tobytes()
-                rows.append((int(bucket[a]), planes, at.astype(np.uint16 if len(some) < 65536 else np.uint32).tobytes(), some.tobytes(), size[a:b][first].astype(np.uint32).tobytes()))
+            rows += [_blob(int(bucket[a]), False, tok[a:b], cls[a:b], size[a:b]) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(tok)])]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "tokens", "at", "classes", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], names=["bucket", "hot", "tokens", "at", "classes", "sizes"])
 
         count = 0
         for batch in batches:
@@ -152,35 +235,31 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, bits: int, id_col: str,
         if count:
             yield flush()
 
-    def merge(table: pa.Table) -> pa.Table:
-        release()
-        toks, cls, sizes = [], [], []
-        for planes, at, some, size in zip(*(table.column(c).to_pylist() for c in ("tokens", "at", "classes", "sizes"))):
-            tok = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(U).ravel()
-            some = np.frombuffer(some, U)
-            at = np.frombuffer(at, np.uint16 if len(some) < 65536 else np.uint32)
-            toks.append(tok)
-            cls.append(some[at])
-            sizes.append(np.frombuffer(size, np.uint32)[at])
-        tok, c, s = np.concatenate(toks), np.concatenate(cls), np.concatenate(sizes)
-        for _ in range(2):  # of the second round: copies of one class from several tasks are one
-            order = np.argsort(tok, kind="stable") if _ == 0 else np.lexsort((c, tok))
-            tok, c, s = tok[order], c[order], s[order]
-            if _:
-                new = np.ones(len(tok), bool)
-                new[1:] = (tok[1:] != tok[:-1]) | (c[1:] != c[:-1])
-                tok, c, s = tok[new], c[new], s[new]
-            same = tok[1:] == tok[:-1]
-            more = np.zeros(len(tok), bool)
-            more[1:] |= same
-            more[:-1] |= same
-            tok, c, s = tok[more], c[more], s[more]
-        return pa.table({"token": pa.array(tok.view(np.int64)), "class": pa.array(c.view(np.int64)), "size": pa.array(s.astype(np.int64))})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(tok: np.ndarray, c: np.ndarray, s: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(c.view(np.int64)), pa.array(s.astype(np.int64)), pa.array(again)], names=["token", "class", "size", "again"])
 
-    blobs = _texts(docs, id_col, text_col).mapInArrow(lean(emit), "bucket int, tokens binary, at binary, classes binary, sizes binary")
+        now, bucket = None, Bucket()
+        for batch in batches:
+            for number, hot, *blob in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if number != now:
+                    if bucket.held:
+                        yield made(*bucket.flush())
+                        release()
+                    now, bucket = number, Bucket()
+                part = _postings(*blob)
+                if hot:
+                    yield made(*part, np.ones(len(part[0]), bool))
+                else:
+                    for out in bucket.add(part):
+                        yield made(*out)
+        if bucket.held:
+            yield made(*bucket.flush())
+
+    blobs = _texts(docs, id_col, text_col).mapInArrow(lean(emit), "bucket int, hot boolean, tokens binary, at binary, classes binary, sizes binary")
     # buckets are even hash ranges: hashing them again would lay several into one task
-    blobs = blobs.repartitionById(min(1 << bits, PARTITIONS), F.col("bucket"))
-    return blobs.groupBy("bucket").applyInArrow(merge, "token long, class long, size long")
+    blobs = blobs.repartitionById(min(1 << bits, PARTITIONS), F.col("bucket")).sortWithinPartitions("bucket")
+    return blobs.mapInArrow(lean(merge), "token long, class long, size long, again boolean")
 
 
 def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +268,7 @@ def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
     Two sets whose first common token this is overlap in ``rest`` at most, so a class leaves groups that
     hold no partner of a size to match."""
     least = F.expr(f"({percent} * size + 99) div 100")
-    rows = shared
+    rows = shared.filter("not again").drop("again").unionByName(shared.filter("again").select("token", "class", "size").dropDuplicates(["token", "class"]))
     for _ in range(2):
         have = rows.groupBy("class").agg(F.count(F.lit(1)).alias("have"), F.first("size").alias("size"))
         rows = rows.drop("have").join(have.filter(F.col("have") >= least).select("class", "have"), "class")
@@ -208,28 +287,30 @@ def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
     return stored(rows, "prefixes")
 
 
+def intersected(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of (a, b) pairs those whose prefixes share a token under order B and one under order C."""
+    heads = lambda c, x, y: sets.select(F.col("class").alias(c), F.col("prefix_b").alias(x), F.col("prefix_c").alias(y))
+    wide = pairs.join(heads("a", "ab", "ac"), "a").join(heads("b", "bb", "bc"), "b")
+    return wide.filter(F.arrays_overlap("ab", "bb") & F.arrays_overlap("ac", "bc")).select("a", "b")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) pairs those whose sets share prefixes under orders B and C and reach the similarity."""
+    """Of (a, b) pairs those whose whole sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, known = [], None, None
             for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"))):
                 if a != last:
-                    x = np.frombuffer(x.as_buffer(), U)
-                    last, known = a, (x, np.sort(mix(x, 2)))
-                x, xc = known
+                    last, known = a, np.frombuffer(x.as_buffer(), U)
                 y = np.frombuffer(y.as_buffer(), U)
-                p, q = (len(z) - int(_least(np.int64(len(z)), percent)) + 1 for z in (x, y))
-                if not len(np.intersect1d(x[:p], y[:q], True)) or not len(np.intersect1d(xc[:p], np.sort(mix(y, 2))[:q], True)):
-                    continue
-                both = len(np.intersect1d(x, y, True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                both = len(np.intersect1d(known, y, True))
+                if 100 * both >= percent * (len(known) + len(y) - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    wide = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a")
-    wide = wide.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
+    wide = pairs.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
+    wide = wide.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a")
     return wide.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
@@ -252,58 +333,73 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("class"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("class"), F.col("v").alias("label")).distinct())
 
 
-def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(class, label) of every class with a partner."""
-    spark = docs.sparkSession
-    reps = rows.join(prefixes.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")).select("key")
-    reps = stored(reps, "reps")
-    chosen = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def whole_sets(docs: DataFrame, reps: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(class, tokens, prefix_b, prefix_c) of the rows of ``reps`` (key): tokens in order B, prefixes as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffers(batch.column(2))
             for a, b in slices(off, CHUNK):
                 grams, start, size, classes = token_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], n)
+                first = np.where(size > 0, size - _least(size, percent) + 1, 0)
+                other, heads_b, heads_c = mix(grams, 2), [], []
+                for i in range(b - a):
+                    own = slice(start[i], start[i + 1])
+                    heads_b.append(grams[own][: first[i]])
+                    heads_c.append(np.sort(other[own])[: first[i]])
+                at = pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32))
+                prefix = lambda heads: pa.ListArray.from_arrays(at, pa.array((np.concatenate(heads) >> U(20)).astype(np.uint32).view(np.int32)))
                 tokens = pa.array([grams[start[i] : start[i + 1]].tobytes() for i in range(b - a)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(classes.view(np.int64)), tokens], names=["class", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes.view(np.int64)), tokens, prefix(heads_b), prefix(heads_c)], names=["class", "tokens", "prefix_b", "prefix_c"])
+
+    return _texts(docs, id_col, text_col).join(_small(reps), "key", "left_semi").mapInArrow(lean(run), "class long, tokens binary, prefix_b array<int>, prefix_c array<int>").dropDuplicates(["class"])
+
 
-    sets = _texts(docs, id_col, text_col).join(chosen, "key", "left_semi").mapInArrow(lean(run), "class long, tokens binary")
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, label) after new links (a, b): only labels that they connect take part in the components."""
+    end = lambda c: labels.select(F.col("class").alias(c), F.col("label").alias("l" + c))
+    named = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    met = stored(components(named.filter("a <> b").distinct()), "met")
+    moved = labels.join(_small(met.select(F.col("class").alias("label"), F.col("label").alias("new"))), "label", "left").select("class", F.coalesce("new", "label").alias("label"))
+    return stored(moved.unionByName(met.join(labels, "class", "left_anti").select("class", "label")), "labels")
+
+
+def link(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(class, label) of every class with a partner."""
+    spark = docs.sparkSession
+    reps = rows.join(prefixes.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")).select("key")
     with batches_of(spark, TEXT_ROWS):
-        sets = stored(sets.dropDuplicates(["class"]), "sets")
-    most = PAIRS * prefixes.count()
-    left, labels, edges = prefixes, spark.range(0).select(F.col("id").alias("class"), F.col("id").alias("label")), None
+        sets = stored(whole_sets(docs, stored(reps, "reps"), n, percent, id_col, text_col), "sets")
+    left, labels, centers = prefixes, spark.range(0).select(F.col("id").alias("class"), F.col("id").alias("label")), 1
     while True:
         named = left.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        group = named.groupBy("token").agg(
-            F.min(F.struct("own", "class", "label", "size", "rest")).alias("c"), F.count(F.lit(1)).alias("members"), (F.min("label") != F.max("label")).alias("open")
+        some = named.groupBy("token", F.pmod(F.xxhash64("class"), F.lit(centers)).alias("part")).agg(
+            F.min(F.struct((F.col("label") != F.col("class")).alias("later"), "own", "class", "label", "size", "rest")).alias("center"), F.min("label").alias("low"), F.max("label").alias("high")
         )
-        group = group.filter("open").select("token", "members", F.col("c.class").alias("a"), F.col("c.label").alias("la"), F.col("c.size").alias("sa"), F.col("c.rest").alias("ra"))
-        named = stored(named.join(group, "token"), "groups")
-        apart = F.col("label") != F.col("la")
-        n_rows, n_pairs = named.agg(F.count(F.lit(1)), F.sum(F.when(apart, F.col("members")).otherwise(0))).first()
+        group = some.groupBy("token").agg(F.collect_list("center").alias("centers"), (F.min("low") != F.max("high")).alias("open")).filter("open").drop("open")
+
+        def fits(c):
+            """Another component; sizes allow the similarity, and so do the tokens from this on, which holds for the first that two sets share."""
+            near = 100 * F.least("size", c["size"]) >= percent * F.greatest("size", c["size"])
+            apart = (c["label"] != F.col("label")) & (~F.exists("centers", lambda x: x["class"] == F.col("class")) | (c["class"] < F.col("class")))
+            return apart & near & ((100 + percent) * F.least("rest", c["rest"]) >= percent * (F.col("size") + c["size"]))
+
+        near = F.transform(F.filter("centers", fits), lambda c: c["class"]).alias("near")
+        named = stored(named.join(group, "token").select("token", "class", "size", "rest", "own", F.exists("centers", lambda x: x["class"] == F.col("class")).alias("center"), near), "groups")
+        n_rows, n_pairs = named.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("near")), F.lit(0))).first()
+        if n_pairs:
+            pairs = named.select(F.explode("near").alias("x"), "class").select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
+            with batches_of(spark, PAIR_ROWS):
+                links = stored(verify(intersected(pairs, sets), sets, percent), "links")
+            labels = labels if links.isEmpty() else relabel(labels, links)
         if not n_rows:
-            break
-
-        def fits(x: str, y: str, rx: str, ry: str):
-            """Sizes allow the similarity, and so do the tokens from this on, which holds for the first that two sets share."""
-            both = F.col(x) + F.col(y)
-            return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * F.least(rx, ry) >= percent * both)
-
-        last = n_pairs <= most
-        if last:  # few pairs can remain: all those between the center's component and others, and between others
-            one = named.filter(apart).select("token", F.col("class").alias("a"), F.col("label").alias("l1"), F.col("size").alias("s1"), F.col("rest").alias("r1"))
-            two = named.select("token", F.col("class").alias("b"), F.col("label").alias("l2"), F.col("size").alias("s2"), F.col("rest").alias("r2"), apart.alias("too"))
-            pairs = one.join(two, "token").filter((F.col("l1") != F.col("l2")) & (~F.col("too") | (F.col("a") < F.col("b"))) & fits("s1", "s2", "r1", "r2"))
-        else:
-            pairs = named.withColumn("b", F.col("class")).filter(apart & fits("sa", "size", "ra", "rest"))
-        found = verify(pairs.select("a", "b").distinct(), sets, percent)
-        with batches_of(spark, PAIR_ROWS):
-            edges = stored(found if edges is None else edges.unionByName(found), "links")
-        labels = stored(components(edges), "labels")
-        if last:
-            break
-        left = named.filter("class <> a").select("token", "class", "size", "rest", "own")
-    return labels
+            return labels
+        left, centers = named.filter("not center").select("token", "class", "size", "rest", "own"), min(2 * centers, CENTERS)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,20 +414,21 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     prefixes = rare_prefixes(tokens, percent)
     labels = link(docs, rows, prefixes, n, percent, id_col, text_col)
     named = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = named.filter("size > 0").groupBy("label").agg(F.min("id").alias("least"))
+    least = stored(named.filter("size > 0").groupBy("label").agg(F.min("id").alias("least")), "least")
     out = named.join(least, "label", "left")
     return out.select(F.col("id").alias(id_col), "key", "size", F.col("label").alias("group"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; rows without words all stay."""
+    """``docs`` with one row of each component, that of the smallest id; rows without words all stay.
+    Extra columns stay as they are, whatever their names."""
+    key = next(k for k in map("_key{}".format, range(len(docs.columns) + 1)) if k not in docs.columns)
     found = stored(join(docs, n, percent, id_col, text_col).filter("size > 0"), "joined")
-    first = found.groupBy("group").agg(F.min(F.struct(F.col(id_col).alias("id"), "key")).alias("first"))
+    first = stored(found.groupBy("group").agg(F.min(F.struct(F.col(id_col).alias("id"), "key")).alias("first")), "first")
     named = found.join(first, "group")
-    gone = stored(named.filter(F.col("key") != F.col("first.key")).select(F.col("key").alias("_key")).distinct(), "gone")
-    twice = stored(named.filter(F.col("key") == F.col("first.key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("_key")), "twice")
-    small = lambda df, k: F.broadcast(df) if k <= BROADCAST_ROWS else df
-    left = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(small(gone, gone.count()), "_key", "left_anti")
-    if k := twice.count():  # equal rows
-        left = left.join(small(twice, k), "_key", "left_anti").unionByName(left.join(small(twice, k), "_key", "left_semi").dropDuplicates(["_key"]))
-    return left.select(docs.columns)
+    gone = stored(named.filter(F.col("key") != F.col("first.key")).select(F.col("key").alias(key)).distinct(), "gone")
+    twice = stored(named.filter(F.col("key") == F.col("first.key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias(key)), "twice")
+    left = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).join(_small(gone), key, "left_anti")
+    if not twice.isEmpty():  # equal rows
+        left = left.join(_small(twice), key, "left_anti").unionByName(left.join(_small(twice), key, "left_semi").dropDuplicates([key]))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -63,7 +63,7 @@ def brute_hits(text, items):
 
 def test_decontamination(spark):
     items = [(1, PROSE), (2, "ONE, two!"), (3, None), (4, "..."), (10, PROSE.title()), (5, "dog"), (6, "never seen here")]
-    texts = [*TEXTS[:-1], "x " + PROSE.upper() + " y " + PROSE, "the quick brown fox jumps over a lazy dog"]
+    texts = [*TEXTS, "x " + PROSE.upper() + " y " + PROSE, "the quick brown fox jumps over a lazy dog"]
     table = docs(spark, texts).unionByName(docs(spark, texts).filter("doc_id = 5"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("win", F.lit(0))
     got = decontaminate.contamination(table, bench).collect()
@@ -119,10 +119,12 @@ def brute_components(texts):
     return [(len(s), x) for s, x in zip(sets, label)]
 
 
-@pytest.mark.parametrize("pairs", [0, 64])
-def test_jaccard(spark, monkeypatch, pairs):
-    monkeypatch.setattr(jaccard, "PAIRS", pairs)  # 0: star rounds to the end
-    rng, texts = random.Random(3), [*TEXTS[:-1], PROSE.upper(), "ONE  two"]
+@pytest.mark.parametrize("centers, held, hot", [(1, 1 << 23, 16), (64, 40, 1 << 20), (64, 40, 2)])
+def test_jaccard(spark, monkeypatch, centers, held, hot):
+    """With one center to the end, with buckets that stream, with hot tokens that are spread."""
+    for name, value in (("CENTERS", centers), ("HELD", held), ("HOT", hot)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng, texts = random.Random(3), [*TEXTS, PROSE.upper(), "ONE  two", LONG + " tail"]
     base = [f"v{i}" for i in range(60)]
     for k in range(14):  # a family of edits on both sides of the limit, and a shared passage
         w = list(base)
