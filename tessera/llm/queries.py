@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, shards, urlfilter, warc
-from .common import table
+from .common import stored, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), s AS (
-  SELECT *, 24 + length(replace(replace(replace(role, '\', '\'), '<|', '<\|'), chr(10), '<\/>')) + length(replace(replace(text, '\', '\'), '<|', '<\|')) AS size FROM t
+  SELECT *, 24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\/>')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS size FROM t
 ), r AS (
   SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS example_chars FROM s
 )
@@ -161,7 +161,7 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     dims = {"lang": F.col("lang"), "source": F.col("source"), "size": F.col("size")}
-    out = shards.assign(rows, dims, "doc_id", F.col("text_crc32"), 40)
+    out = shards.assign(stored(rows, "sizes"), dims, "doc_id", F.col("text_crc32"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
