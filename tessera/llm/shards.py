@@ -7,12 +7,15 @@ dimension and readers prune files by any of them.
 
 Law ``rows``: shard counts are at most one apart. The rank of a row is the count of the
 cells before it, of the blocks before it in its cell, and its row number in its block.
-A cell, however hot, is split into ``blocks`` blocks by a hash of the id, so no window
-sorts a whole cell; the table of block counts has at most ``cells * blocks`` rows, which
-bounds what is broadcast. Only ids, sizes and cells are shuffled, never texts.
-
-Nulls sort before all values of a dimension. Equal rows get neighbouring slots in either
-order. An empty table gives no rows. Extra columns are ignored.
+A cell of many rows is split by a hash of the id into a block for each ``BLOCK_ROWS`` rows, so
+no window sorts a whole cell; the table of blocks that is broadcast has one row for each of them
+and ``2**(dims * bits)`` cells at most. Only ids, dimensions and cells are shuffled, never texts.
+
+Strings are cut at quantiles of their whole values, by counts of distinct ones; numbers and times
+by approximate quantiles. Nulls sort before all values of a dimension. Equal texts lie in one cell
+if their metadata is equal too; the law may still part them. Equal rows get neighbouring slots in
+either order. An empty table gives no rows. Extra columns are kept; ``cell``, ``shard`` and ``slot`` take
+the place of columns of these names. Reading ``rows`` twice should be cheap: pass a stored table.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 @cache
 def curve(dims: int, bits: int) -> list[int]:
@@ -55,47 +60,63 @@ def curve(dims: int, bits: int) -> list[int]:
     return out
 
 
-def ordinal(c: Column) -> Column:
-    """A number that orders strings as their first seven bytes do."""
-    raw = F.rpad(F.substring(F.hex(c.cast("binary")), 1, 14), 14, "0")
-    return F.conv(raw, 16, 10).cast("long")
+#: rows of a block
+BLOCK_ROWS = 1 << 20
+
+
+def string_cuts(rows: DataFrame, column: str, n: int) -> list[str]:
+    """``n - 1`` values that cut the column's values into ``n`` even parts: distinct values are counted, ordered by ranges,
+    and their running counts searched."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    parts = stored(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    sums = parts.groupBy("part").agg(F.sum("c").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    run = parts.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+    found = run.agg(*(F.min(F.when(F.col("upto") * n > F.col("total") * i, F.col("v"))).alias(f"q{i}") for i in range(1, n))).first()
+    return [v for v in found if v is not None]
 
 
-def cells(rows: DataFrame, dims: dict[str, Column], bits: int = 4) -> tuple[DataFrame, Column]:
-    """``rows`` with a numeric column ``_d_<name>`` for each dimension, and the expression of the
-    curve index. Cut points are quantiles over all rows; they are ``dims * (2**bits - 1)`` numbers."""
+def cells(rows: DataFrame, dims: list[str], bits: int = 4) -> Column:
+    """The curve index of a row by its columns ``dims``. Cut points are quantiles over all rows; they are
+    ``dims * (2**bits - 1)`` values."""
     if len(dims) * bits > 15:
         raise ValueError("at most 15 bits together")
-    typed = {f"_d_{k}": ordinal(c) if rows.select(c).schema[0].dataType.simpleString() == "string" else c.cast("long") for k, c in dims.items()}
-    rows = rows.withColumns(typed)
-    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = rows.agg(*(F.percentile_approx(c, steps, 10_000).alias(c) for c in typed)).first()
-    cell = F.lit(0)
-    for c in typed:
+    parts, cell = 1 << bits, F.lit(0)
+    steps = [i / parts for i in range(1, parts)]
+    for c in dims:
+        if rows.schema[c].dataType.simpleString() == "string":
+            value, cuts = F.col(c), string_cuts(rows, c, parts)
+        else:
+            value = F.col(c).cast("double")
+            cuts = rows.agg(F.percentile_approx(value, steps, 10_000)).first()[0] or []
         q = F.lit(0)
-        for cut in cuts[c] or []:
-            q = q + F.coalesce(F.col(c) >= cut, F.lit(False)).cast("int")
-        cell = cell * (1 << bits) + q
-    table = F.array(*map(F.lit, curve(len(dims), bits)))
-    return rows, F.element_at(table, cell + 1)
+        for cut in cuts:
+            q = q + F.coalesce(value >= F.lit(cut), F.lit(False)).cast("int")
+        cell = cell * parts + q
+    return F.element_at(F.array(*map(F.lit, curve(len(dims), bits))), cell + 1)
 
 
-def assign(rows: DataFrame, dims: dict[str, Column], id_col: str, tie: Column, n_shards: int, bits: int = 4, blocks: int = 64) -> DataFrame:
+def assign(rows: DataFrame, dims: dict[str, Column], id_col: str, tie: Column, n_shards: int, bits: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` with ``cell``, ``shard`` and ``slot`` (gapless from 0 in a shard). ``tie`` orders rows of one id."""
-    rows, index = cells(rows, dims, bits)
-    rows = rows.withColumns({"cell": index, "_block": F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"), "_tie": tie}).drop(*(f"_d_{k}" for k in dims))
-    counts = rows.groupBy("cell", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    per_cell = counts.groupBy("cell").agg(F.sum("_n").alias("_cell_n"))
-    before = per_cell.select("cell", (F.sum("_cell_n").over(Window.orderBy("cell")) - F.col("_cell_n")).alias("_cell_at"), F.sum("_cell_n").over(Window.partitionBy()).alias("_total"))
-    blocks_at = counts.join(F.broadcast(before), "cell").select(
-        "cell", "_block", "_total",
-        (F.col("_cell_at") + F.sum("_n").over(Window.partitionBy("cell").orderBy("_block")) - F.col("_n")).alias("_at"),
-    )
-    ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy("cell", "_block").orderBy(id_col, "_tie")))
-    rank = F.col("_at") + F.col("_row") - 1
-    out = ranked.join(F.broadcast(blocks_at), ["cell", "_block"]).withColumn("_rank", rank)
-    out = out.withColumn("shard", F.expr(f"cast(_rank * {n_shards} div _total as int)"))
-    return out.withColumn("slot", F.expr(f"_rank - (shard * _total + {n_shards - 1}) div {n_shards}")).drop("_block", "_tie", "_row", "_at", "_total", "_rank")
+    own = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(id_col).alias("id"), tie.alias("tie"), *(c.alias(f"d{i}") for i, c in enumerate(dims.values())))
+    at = own.withColumn("cell", cells(own, [f"d{i}" for i in range(len(dims))], bits))
+    sizes = at.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    at = at.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    counts = stored(at.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("n")), "blocks")
+    per_cell = counts.groupBy("cell").agg(F.sum("n").alias("n"))
+    before = per_cell.select("cell", (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    begins = counts.join(F.broadcast(before), "cell").select("cell", "block", "total", (F.col("first") + F.sum("n").over(Window.partitionBy("cell").orderBy("block")) - F.col("n")).alias("begin"))
+    ranked = at.withColumn("place", F.row_number().over(Window.partitionBy("cell", "block").orderBy("id", "tie")))
+    out = ranked.join(F.broadcast(begins), ["cell", "block"]).withColumn("rank", F.col("begin") + F.col("place") - 1)
+    out = out.withColumn("shard", F.expr(f"cast(rank * {n_shards} div total as int)"))
+    out = out.withColumn("slot", F.expr(f"rank - (shard * total + {n_shards - 1}) div {n_shards}"))
+    kept = [F.col("row").getField(c).alias(c) for c in rows.columns if c not in ("cell", "shard", "slot")]
+    return out.select(*kept, "cell", "shard", "slot")
+
+
+def write(sharded: DataFrame, path: str) -> None:
+    """A folder of files for each shard, rows in order of their slots."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("error").parquet(path)
 
 
 def prune_stats(sharded: DataFrame, columns: list[str]) -> DataFrame:
