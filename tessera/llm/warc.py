@@ -2,8 +2,9 @@
 
 Writing: payloads of at least ``REVISIT_BYTES`` bytes that are equal share one response, that
 of the smallest id; the others become revisits of it. The choice is made over (id, digest)
-rows; payloads are shuffled once, salted, so that a digest of a third of all rows is not
-one task. Each task streams records into archives of about ``ARCHIVE_BYTES``; a file's
+rows. The table of repeated digests is broadcast if it is counted to be small, so payloads stay
+where they are; else payloads are shuffled once, salted by ``SALT_ROWS`` rows, so that a digest of a
+third of all rows is not one task. Each task streams records into archives of about ``ARCHIVE_BYTES``; a file's
 name has the task attempt, and only files in the committed manifest are read, so a lost
 executor leaves no doubtful archive.
 
@@ -28,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, stored
+from .decontaminate import _small
 
 SKIPPABLE, ZSTD, DICTIONARY = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
-REVISIT_BYTES, ARCHIVE_BYTES, SAMPLES, SAMPLE_BYTES, DICT_BYTES, SALTS = 100, 32 << 20, 256, 8192, 32 << 10, 16
+REVISIT_BYTES, ARCHIVE_BYTES, SAMPLES, SAMPLE_BYTES, DICT_BYTES, SALT_ROWS = 100, 32 << 20, 256, 8192, 32 << 10, 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 URN = "<urn:page:{}>"
+#: tasks of a read, at most; a task then takes several archives, one after the other
+MOST_TASKS = 20_000
 
 
 def record(kind: str, page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: int | None, date: str) -> bytes:
@@ -154,11 +158,15 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    heads = rows.select("id", F.substring("payload", 1, SAMPLE_BYTES).alias("head")).filter(F.octet_length("head") > 0).orderBy(F.xxhash64("id"), "head").limit(SAMPLES)
-    book = train([bytes(r["head"]) for r in heads.collect()])
+    # heads are picked by a hash of the digest, thinned before any head is moved; equal payloads count once
+    n = rows.filter("size > 0").count()
+    key = F.xxhash64("digest")
+    some = rows.filter((F.col("size") > 0) & (F.pmod(key, F.lit(1 << 30)) < int(min(1.0, 4 * SAMPLES / max(n, 1)) * (1 << 30)))).groupBy(key.alias("key")).agg(F.first(F.substring("payload", 1, SAMPLE_BYTES)).alias("head"))
+    book = train([bytes(r["head"]) for r in some.orderBy("key").limit(SAMPLES).collect()])
     firsts = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    salts = 1 + n // SALT_ROWS
+    salted = _small(stored(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "firsts"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["digest", "salt"], "left")
     rows = rows.select("id", "url", "payload", "digest", "size", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers"))
     fs, base = _file_system(folder)
     fs.create_dir(base)
@@ -228,8 +236,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield made(rows)
 
-    # the shuffle gives each archive a task of its own, also where one manifest file names many
-    return manifest.repartition(F.col("path")).mapInArrow(run, "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    # round robin by a given count: each archive gets a task of its own, which adaptive execution leaves alone
+    return manifest.repartition(max(1, min(manifest.count(), MOST_TASKS))).mapInArrow(run, "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
