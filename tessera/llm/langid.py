@@ -101,12 +101,16 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", clusters: int = CLUSTERS) -> Model:
     """Learn from the rows of ``docs`` with a label and a text."""
     keys = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-    n_langs = len(keys.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if n_langs > MAX_LANGUAGES:
+    sizes = dict(keys.groupBy("lang").agg(F.count(F.lit(1))).limit(MAX_LANGUAGES + 1).collect())
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    most = min(PER_LANGUAGE, SAMPLE // max(n_langs, 1))
-    for part in ([F.col("lang"), F.pmod("h", F.lit(64))], [F.col("lang")]):  # a hot language is thinned in 64 parts first
-        keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h", "id"))).filter(F.col("r") <= most)
+    most = min(PER_LANGUAGE, SAMPLE // max(len(sizes), 1))
+    # by the hash alone a language is thinned to some four times what is wanted, before anything is shuffled
+    share = F.lit(1.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, min(1.0, 4 * most / n)).otherwise(share)
+    keys = keys.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= most)
     sample = stored(keys.select("id", "lang").distinct(), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
