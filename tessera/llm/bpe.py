@@ -410,7 +410,7 @@ _KEPT: dict[tuple, Coder] = {}
 
 def _kept(coder: Coder) -> Coder:
     """This worker's coder of the same settings, with what it has cached."""
-    key = coder.seed, coder.dropout, zlib.crc32("\0".join(coder.vocabulary.pieces).encode())
+    key = coder.seed, coder.dropout, zlib.crc32(repr([(p, coder.vocabulary.scores.get(p)) for p in coder.vocabulary.pieces]).encode())
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = coder
