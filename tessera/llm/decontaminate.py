@@ -148,7 +148,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any window of an item, all columns."""
-    found = contamination(docs, items, n, id_col, text_col).filter("n_hit > 0").select(F.col("doc").alias("_doc")).distinct()
+    """The rows of ``docs`` without any window of an item, all columns as they are, whatever their names."""
+    key = next(k for k in map("_doc{}".format, range(len(docs.columns) + 1)) if k not in docs.columns)
+    found = contamination(docs, items, n, id_col, text_col).filter("n_hit > 0").select(F.col("doc").alias(key)).distinct()
     bad = stored(found, "contaminated")
-    return docs.withColumn("_doc", doc_key(id_col, text_col)).join(_small(bad), "_doc", "left_anti").select(docs.columns)
+    return docs.withColumn(key, doc_key(id_col, text_col)).join(_small(bad), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
