@@ -148,10 +148,16 @@ def listed_by_label(host: Column, labels: list[str] = LISTED_LABELS) -> Column:
 
 
 def judge(pages: DataFrame, url_col: str = "url", listed=listed_by_label) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``. ``listed``: of a host column, whether it is on the list."""
+    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``, which take the place of columns of these names.
+    ``listed``: the list, as a table of hosts (``host``) or as an expression of a host column."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.withColumns({"host": host, "path": path})
-    universe = rows.groupBy(F.col("host").alias("key")).agg(F.first(F.lit(True)).alias("_")).select("key", listed(F.col("key")).alias("listed"))
+    universe = rows.groupBy(F.col("host").alias("key")).agg(F.first(F.lit(True)).alias("_")).select("key")
+    if isinstance(listed, DataFrame):
+        marks = listed.select(F.translate("host", UPPER, LOWER).alias("key"), F.lit(True).alias("listed")).filter("key is not null").distinct()
+        universe = stored(universe.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
+    else:
+        universe = universe.withColumn("listed", listed(F.col("key")))
     levels = cascade(universe)
     rule, says = rule_of(F.col("host"), F.col("path"))
     method = F.when(member(F.col("host"), levels), "block").otherwise("allow")
