@@ -112,10 +112,11 @@ def brute_components(texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
     label = list(range(len(texts)))
+    near = lambda a, b: a and b and 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * (k := len(a & b)) >= 75 * (len(a) + len(b) - k)
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if near(sets[i], sets[j])]
     for _ in texts:
-        for i, j in itertools.combinations(range(len(texts)), 2):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                label[i] = label[j] = min(label[i], label[j])
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
     return [(len(s), x) for s, x in zip(sets, label)]
 
 
@@ -197,6 +198,18 @@ def test_chat_digest_reads_whole_examples(spark, monkeypatch):
     assert {r["conv_id"]: r["formatted_chars"] for r in chat.digest(out).collect()} == {None: 0, 1: len(whole[1])}
 
 
+def test_chat_sql_counts_backslashes(spark, tmp_path):
+    import duckdb
+
+    rows = [(5, 0, "us\\er", "a\\b <| \\\\"), (5, 1, "assistant", "\\<|"), (6, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duck.execute(queries.OP6_SQL)
+    columns = [c[0] for c in want.description]
+    assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in columns) for r in queries.op6_chat_formatting(spark, str(tmp_path)).collect())
+
+
 def test_url_filters(spark):
     urls = [None, "", "nope", "http://A.Example.NET/en/x?q=/de/", "https://x.net", "https://x.net#/", "ftp://example.com/de/a#b", "http://m.adult-x.example.com/de", "http://a.org/fr/://", "http://b.org?x", "http://notexample.com/de/"]
     pages = spark.createDataFrame(list(enumerate([*urls, urls[3]])), "page_id long, url string").withColumn("key", F.lit(1))
@@ -208,6 +221,13 @@ def test_url_filters(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_list_of_hosts_as_a_table(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 300}.org/x") for i in range(900)], "page_id long, url string")
+    hosts = spark.createDataFrame([(f"H{i}.org",) for i in range(0, 300, 3)] + [(None,), ("h0.org",), ("elsewhere",)], "host string")
+    got = {(r["host"], r["verdict"]) for r in urlfilter.judge(pages, listed=hosts).collect()}
+    assert got == {(f"h{i}.org", "allow" if i % 3 else "block") for i in range(300)}
+
+
 def test_bloom_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     levels = urlfilter.cascade(universe)
@@ -311,6 +331,40 @@ def test_sharding(spark):
     assert shards.assign(rows.limit(0), {"lang": F.col("lang")}, "doc_id", F.lit(0), 40).count() == 0
 
 
+def test_sharding_against_brute_force(spark, tmp_path):
+    """Shards, slots and cells with names that clash, long prefixes, doubles and nulls, in blocks of a few rows."""
+    rng = random.Random(5)
+    data = [(i, None if i % 17 == 0 else f"https://example.org/{rng.choice('abcdefgh')}/{i % 3}", None if i % 13 == 0 else rng.random(), i % 7) for i in range(600)]
+    rows = spark.createDataFrame(data, "doc_id long, url string, score double, shard int").withColumns({"cell": F.lit(1), "_row": F.lit(2), "_total": F.lit(3), "row": F.lit(4), "tie": F.lit(5)})
+    got = shards.assign(rows, {"url": F.col("url"), "score": F.col("score")}, "doc_id", F.lit(0), 40, block_rows=7).collect()
+    assert got[0]["_row"] == 2 and got[0]["tie"] == 5 and len(got) == 600
+
+    def cuts(values, n=16):
+        values = sorted(v for v in values if v is not None)
+        return [values[len(values) * i // n] for i in range(1, n)]
+
+    urls = cuts([r[1] for r in data])
+    place = {r[0]: sum(r[1] is not None and r[1] >= c for c in urls) for r in data}
+    at = {v: k for k, v in enumerate(shards.curve(2, 4))}
+    cell = {r["doc_id"]: r["cell"] for r in got}
+    assert all(at[cell[i]] >> 4 == place[i] for i in cell)  # strings are cut by whole values
+    scores = collections.defaultdict(list)
+    for r in data:
+        scores[at[cell[r[0]]] & 15].append(-1.0 if r[2] is None else r[2])
+    order = [scores[k] for k in sorted(scores)]
+    assert len(order) == 16 and all(max(a) <= min(b) for a, b in zip(order, order[1:]))  # numbers as doubles
+    ranked = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["cell"] for r in ranked] == sorted(cell.values())
+    want = [(k * 40 // 600, k) for k in range(600)]
+    assert [r["shard"] for r in ranked] == [s for s, _ in want]
+    assert [r["slot"] for r in ranked] == [k - min(j for t, j in want if t == s) for s, k in want]
+    path = str(tmp_path / "shards")
+    shards.write(spark.createDataFrame(got), path)
+    stats = {r["shard"]: r for r in shards.prune_stats(spark.read.parquet(path), ["url", "score"]).collect()}
+    wide = [s for s, r in stats.items() if r["min_url"] <= "https://example.org/b/1" <= r["max_url"]]
+    assert sum(r["n_rows"] for r in stats.values()) == 600 and len(wide) < 20  # readers skip more than half of the shards
+
+
 def test_warc(spark):
     pages = [(1, "http://a/\r\nX: y", "z" * 200), (2, None, "z" * 200), (3, "u", None), (4, "u", "small"), (5, "u", "small"), (0, "é", "é" * 150)] + [(10 + i, "v", f"<html>{i} {PROSE}</html>") for i in range(40)]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("id", F.lit("x"))
@@ -323,6 +377,21 @@ def test_warc(spark):
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
+def test_warc_reads_archives_in_parallel_and_shuffles_beyond_a_broadcast(spark, monkeypatch, tmp_path):
+    from tessera.llm import decontaminate as D
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(warc, "SALT_ROWS", 50)
+    monkeypatch.setattr(warc, "_small", lambda df: D._small(df, 0))
+    pages = spark.createDataFrame([(i, "u", ("same " * 40 if i % 3 else f"page {i} " * 20)) for i in range(200)], "page_id long, url string, html string")
+    folder = "file://" + str(tmp_path / "w")
+    manifest = warc.write(pages, folder)
+    back = warc.read(manifest, folder)
+    assert manifest.count() > 8 and back.rdd.getNumPartitions() == manifest.count()
+    rows = back.collect()
+    assert len(rows) == 200 and sum(r["record_type"] == "revisit" for r in rows) == 132 and {r["refers_to"] for r in rows} == {None, 1}
+
+
 def test_warc_reader_refuses_bad_archives():
     import zstandard
 
@@ -357,6 +426,160 @@ def test_stages(spark):
     assert not any("abcdefgh12" in t for t in left.values())
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def brute_kept(text):
+    """The verdict of op1 from plain word and line lists."""
+    base, limits = brute_rules(text), quality.Limits()
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    chars = sum(map(len, w))
+    lines = [[x for x in re.findall(r"[^\x20\x09-\x0D]+", line)] and line for line in (text or "").split("\n")]
+    lines = [x for x in lines if x]
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    own = len(lines)
+    if base[5] or (own and (len(again) / own > limits.lines or sum(map(len, again)) / max(sum(map(len, lines)), 1) > limits.line_chars)):
+        return False
+    for n, most in limits.ngrams.items():
+        grams = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        inside = {j for i in range(len(w) - n + 1) if grams[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        if chars and sum(len(w[j]) for j in inside) / chars > most:
+            return False
+    return True
+
+
+def test_op1_query_against_brute_force(spark, texts):
+    got = {r["doc_id"]: r for r in queries.op1_quality_rules(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        assert tuple(got[i])[1:7] == brute_rules(t) and got[i]["kept"] == brute_kept(t), i
+
+
+def test_op3_query_against_plain_centroids(spark, texts):
+    """Predictions from n-gram counts in dictionaries, against the fitted centroids."""
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs_.filter(~langid.held_out()))
+    got = {r["doc_id"]: r for r in queries.op3_language_id(spark, SF).collect()}
+    assert set(got) == set(texts)
+    mask, m = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    for i, t in texts.items():
+        low = (t or "").lower()
+        letters = "".join(c if c.isalpha() else " " for c in low)
+        if not letters.strip():
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        points = [32, *(ord(c) for k, c in enumerate(letters) if c != " " or not k or letters[k - 1] != " "), 32]
+        count = collections.Counter()
+        for k, p in enumerate(points):
+            for size, salt in ((1, 1), (2, 2), (3, 3)):
+                if k + size <= len(points):
+                    x = 0
+                    for q in points[k : k + size]:
+                        x = x * 0x110000 + q
+                    count[((x * m + salt) * m & mask) >> 64 - langid.BITS] += 1
+        v = np.zeros(langid.SIZE)
+        for b, n in count.items():
+            v[b] = np.log1p(n) * model.idf[b]
+        cosine = model.centroids @ (v / np.linalg.norm(v))
+        best = int(cosine.argmax())
+        assert abs(got[i]["score"] - min(max(cosine[best], 0), 1)) < 1e-4 and cosine[model.names.index(got[i]["lang_pred"])] is not None
+        near = [n for n, c in zip(model.names, cosine) if c > cosine[best] - 1e-5]
+        assert got[i]["lang_pred"] in near
+
+
+def test_op5_query_against_brute_force(spark, texts):
+    assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in queries.op5_secret_scans(spark, SF).collect():
+        t = texts[r["doc_id"]] or ""
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        listed = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in found) for n in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= set(r["spans"].split(","))
+
+
+def test_secret_checks_of_npm_and_extended_keys():
+    body = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0"
+    value, out = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        value, d = divmod(value, 62)
+        out = secrets.BASE62[d] + out
+    assert ("npm", 4, 44) in secrets.scan(f"see npm_{body}{out} ".encode()) and not secrets.scan(f"see npm_{body}{out[:-1]}- ".encode())
+    # an extended private key: 78 bytes and four of their double SHA-256, in base 58
+    raw = bytes.fromhex("0488ADE4") + bytes(range(74))
+    raw += hashlib.sha256(hashlib.sha256(raw).digest()).digest()[:4]
+    n, key = int.from_bytes(raw, "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        key = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"[d] + key
+    assert [s[0] for s in secrets.scan(f" {key} ".encode())] == ["xprv"] and not secrets.scan(f" {key[:-1]}x ".encode())
+
+
+def test_op8_query_against_plain_merging(spark, texts):
+    v = bpe.Vocabulary.load(queries.PIECES)
+    least = bpe.Coder(v, 42, 0.1).least
+    coder = bpe.Coder(v)
+    for r in queries.op8_sentencepiece(spark, SF).collect():
+        t = texts[r["doc_id"]]
+        if t is None:
+            assert r["n_tokens"] is None
+            continue
+        raw = t.encode()
+        assert r["lossless"] and r["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+        if len(t) > 3000:
+            continue
+        words = coder._split(t)
+        key = bpe.xxhash.xxh64_intdigest(str(r["doc_id"]), 42)
+        own = bpe.occurrences(np.array([key], np.uint64), np.array([len(words)])).tolist()
+        ids = []
+        for w, k in zip(words, own):
+            ids += [v.byte_ids[b] for b in "▁".encode()] if w is None else [i for p in naive(w, v.scores, k, least) for i in ([v.ids[p]] if p in v.ids else [v.byte_ids[b] for b in p.encode()])]
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}i", *ids)).hexdigest())
+
+
+def test_op9_query_against_brute_force(spark, texts):
+    got = queries.op9_hilbert_sharding(spark, SF).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts.items()}
+    ranked = sorted(got, key=lambda r: (r["cell"], r["doc_id"]))  # one block a cell at this size
+    for k, r in enumerate(ranked):
+        shard = k * 40 // len(ranked)
+        assert (r["law"], r["shard"], r["slot"], r["grown_shard"]) == ("rows", shard, k - -(-shard * len(ranked) // 40), None)
+
+
+def test_pipeline_query_against_brute_force(spark, texts):
+    """run(): quality, one of each near-duplicate group, decontamination, masked secrets, tokens that decode to them."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    left = {i: t for i, t in texts.items() if brute_kept(t)}
+    ids = sorted(left)
+    label = brute_components([left[i] for i in ids])
+    left = {i: left[i] for k, i in enumerate(ids) if not label[k][0] or label[k][1] == k}
+    rule = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: rule.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + min(10, len(w))]) for w in map(words, (t for _, t in items)) if w for i in range(len(w) - min(10, len(w)) + 1)}
+    hit = lambda w: any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+    left = {i: t for i, t in left.items() if not hit(words(t))}
+
+    def masked(t):
+        raw, out, end = t.encode(), [], 0
+        for a, _, b in secrets._scan(raw, secrets.automaton()):
+            if a >= end:
+                out += [raw[end:a], b"<SECRET>"]
+            end = max(end, b)
+        return b"".join([*out, raw[end:]]).decode()
+
+    got = {r["doc_id"]: r for r in entry.queries()["pipeline"](spark, SF).collect()}
+    assert sorted(got) == sorted(left)
+    coder = bpe.Coder(bpe.Vocabulary.load(queries.PIECES))
+    for i, t in left.items():
+        assert got[i]["n_tokens"] == len(got[i]["ids"]) and coder.decode(np.array(got[i]["ids"], "<i4").tobytes()) == masked(t)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     import os
