@@ -113,3 +113,14 @@ def nfkc(text: Column) -> Column:
 def phrase(text: Column) -> Column:
     """``normalized_phrase`` of the NFKC form."""
     return normalized_phrase(nfkc(text))
+
+
+def folded_column(word: Column) -> Column:
+    """:func:`folded` of a column; only words that are not ASCII reach Python."""
+
+    @F.pandas_udf("string")
+    def fold(words: pd.Series) -> pd.Series:
+        return words.map(folded, na_action="ignore")
+
+    wide = word.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, fold(F.when(wide, word))).otherwise(F.lower(word))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The stop words of retrieval and of ranking; they differ on purpose.
+# The stop words of retrieval, of the baseline and of ranking; they differ on purpose.
 STOP_WORDS = "a about an and are as at be but by do does for from have i in is it me my need of on or please some that the this to want with would you your".split()
+LEGACY_STOP_WORDS = "a about additional an and are as at be but by closest do does for found from have here i in is it key looking matches matters me my need not of on options or please preference requirement right some that the these this those to use want what with would you your".split()
 RANK_STOP_WORDS = "a an and are as at be but by for from have i in is it me my need of on or please some that the this to under want with would you your".split()
 
 

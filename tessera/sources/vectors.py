@@ -40,7 +40,7 @@ def write_vectors(vectors: DataFrame, path: str, **names: str) -> None:
     n, ids, low, high, checksum = _digest(spark.read.parquet(f"{path}/vectors"))
     if not n or n != ids or low != high:
         raise VectorsError("vectors need rows, distinct ids and one dimension")
-    fields = {"schema_version": SCHEMA_VERSION, "rows": n, "dimension": low, "normalized": True, "similarity": SIMILARITY, "checksum": checksum, **{k: names[k] for k in NAMES}}
+    fields = {"schema_version": SCHEMA_VERSION, "rows": n, "dimension": low, "normalized": True, "similarity": SIMILARITY, "checksum": checksum, "id": rows.schema["id"].dataType.simpleString(), **{k: names[k] for k in NAMES}}
     spark.range(1, numPartitions=1).select(F.lit(json.dumps(fields, sort_keys=True)).alias("value")).write.mode("error").text(f"{path}/manifest")
 
 
@@ -50,22 +50,48 @@ def read_vectors(spark: SparkSession, path: str, catalog_sha256: str | None = No
         meta = json.loads(_manifest(spark, path).first()[0])
         version, similarity, normalized = meta["schema_version"], meta["similarity"], meta["normalized"]
         want = (meta["rows"], meta["rows"], meta["dimension"], meta["dimension"], meta["checksum"])
-        names = [meta[n] for n in NAMES]
+        names, kind = [meta[n] for n in NAMES], meta["id"]
     except Exception as error:  # an unreadable path has many errors
         raise VectorsError(f"no valid manifest below {path}") from error
     if (version, similarity, normalized) != (SCHEMA_VERSION, SIMILARITY, True) or not all(names):
         raise VectorsError("the manifest is of another kind")
     if catalog_sha256 is not None and catalog_sha256 != meta["catalog_sha256"]:
         raise VectorsError("the vectors belong to another catalog")
-    vectors = spark.read.parquet(f"{path}/vectors")
-    if _digest(vectors) != want:
+    vectors = spark.read.schema(f"id {kind}, embedding array<float>").parquet(f"{path}/vectors")
+    try:
+        found = _digest(vectors)
+    except Exception as error:  # a foreign or broken file
+        raise VectorsError(f"the vectors below {path} can't be read") from error
+    if found != want:
         raise VectorsError("the vectors are not those of the manifest")
     return vectors
 
 
+def vectors_error(spark: SparkSession, path: str, catalog_sha256: str | None = None) -> str | None:
+    """The kind of the error that keeps the vectors below ``path`` from being used, or null."""
+    try:
+        read_vectors(spark, path, catalog_sha256)
+    except Exception as error:
+        return type(error).__name__
+    return None
+
+
 def optional_vectors(spark: SparkSession, path: str | None, catalog_sha256: str | None = None) -> tuple[str, DataFrame | None]:
-    """("on", vectors), or ("off", None) where there are none that can be used."""
+    """("on", vectors), or ("off", None) where there are none that can be used: nothing that is wrong with vectors stops
+    the rest."""
     try:
         return ("on", read_vectors(spark, path, catalog_sha256)) if path else ("off", None)
-    except VectorsError:
+    except Exception:  # an optional route never stops the others
         return "off", None
+
+
+def validate_vectors(vectors: DataFrame) -> dict[str, int]:
+    """What a table of (id, embedding) has wrong, in one pass: null ids, null, empty, zero or non-finite vectors, vectors that
+    are not of unit length, and how many dimensions there are."""
+    square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+    bad = ~(F.coalesce(square > 0, F.lit(False)) & ~F.isnan(square) & (square < float("inf")))
+    row = vectors.agg(
+        F.count_if(F.col("id").isNull()).alias("null_ids"), F.count_if(bad).alias("unusable"), F.count_if(~bad & (F.abs(F.sqrt(square) - 1) > 1e-3)).alias("not_unit"),
+        F.count_distinct(F.coalesce(F.size("embedding"), F.lit(-1))).alias("dimensions"), F.count(F.lit(1)).alias("rows"),
+    ).first()
+    return row.asDict()
