@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import is_empty
 
 MISS_TURN = 11
+# The language that tells buying from browsing.
+BROWSING = r"\b(?:still exploring|ideas?|not sure|open to|something for|just browsing)\b"
+STRONG = r"\b(?:must|only|under|below|no more than|at most|exactly)\b"
+WEAK = r"\b(?:looking for|need|want)\b"
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -61,10 +65,7 @@ def facet_scores(facets: DataFrame) -> DataFrame:
 def route(message: Column, hard: Column, excluded: Column, category: Column) -> tuple[Column, Column]:
     """(route, confidence) of a turn. hard, excluded: whether there are such constraints; category: or null."""
     low = F.lower(message)
-    # The language that tells buying from browsing.
-    browsing = low.rlike(r"\b(?:still exploring|ideas?|not sure|open to|something for|just browsing)\b")
-    strong = low.rlike(r"\b(?:must|only|under|below|no more than|at most|exactly)\b")
-    weak = low.rlike(r"\b(?:looking for|need|want)\b")
+    browsing, strong, weak = low.rlike(BROWSING), low.rlike(STRONG), low.rlike(WEAK)
     known = category.isNotNull() & (category != "")
     signals = 1 + weak.cast("int")
     name = F.when(hard | excluded | strong, "buying").when(browsing, "browsing").when(known & (signals <= 2), "browsing").when(weak & known, "buying").otherwise("browsing")
@@ -72,6 +73,26 @@ def route(message: Column, hard: Column, excluded: Column, category: Column) ->
     return name, sure
 
 
+def decision(message: Column, hard: Column, excluded: Column, category: Column, override: Column) -> Column:
+    """(route, confidence, signals, reason, override) of a turn. hard, excluded: arrays of terms."""
+    low = F.lower(message)
+    fields = F.transform(hard, lambda t: t["field"])
+    name, sure = route(message, F.size(hard) > 0, F.size(excluded) > 0, category)
+    # The language of the signals, as in route.
+    seen = [
+        ("has_hard_constraint", F.size(hard) > 0), ("has_budget", F.arrays_overlap(fields, F.array(F.lit("price_min"), F.lit("price_max")))),
+        ("has_size", F.array_contains(fields, "size")), ("has_exclusion", F.size(excluded) > 0),
+        ("strong_buying_language", low.rlike(STRONG)), ("browsing_language", low.rlike(BROWSING)), ("weak_buying_language", low.rlike(WEAK)),
+        ("has_category", F.coalesce(category != "", F.lit(False))),
+    ]
+    signals = F.array_compact(F.array(*(F.when(c, F.lit(s)) for s, c in seen)))
+    why = (
+        F.when(sure.isin(0.9, 0.78), "a firm demand or an exclusion asks for precise retrieval").when(sure == 0.88, "the customer says that they are exploring")
+        .when(sure == 0.72, "only a category is known").when(sure == 0.65, "a category and the wish to buy").otherwise("nothing tells of a firm intent")
+    )
+    return F.struct(name.alias("route"), sure.alias("confidence"), signals.alias("signals"), why.alias("reason"), F.coalesce(override, F.lit(False)).alias("override"))
+
+
 def metrics(sessions: DataFrame, segment: str | None = None) -> DataFrame:
     """(hit, rank, turn) rows to hit@10, MRR, turns to conversion (a miss counts 11), efficiency and technical score."""
     hit = F.col("rank").isNotNull() & (F.col("rank") <= 10)

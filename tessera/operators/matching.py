@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constraints import match_category
+from ..functions.text import normalized_phrase
+
 THRESHOLD = 0.85
 # Weights of the ranker's features.
 WEIGHTS = {"rrf": 1.00, "exact_phrase": 0.35, "feature_overlap": 0.25, "category_match": 0.25, "hard_match": 0.25, "soft_match": 0.15, "popularity": 0.03, "profile": 0.03, "penalty": -0.80}
@@ -54,3 +57,91 @@ def rank(pool: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     scaled = scaled.withColumn("popularity", F.coalesce(log / F.nullif(F.max(log).over(by), F.lit(0.0)), F.lit(0.0)))
     score = sum((F.lit(w) * F.col(c) for c, w in weights.items() if c in pool.columns), F.lit(0.0))
     return scaled.withColumn("score", score).withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "id")))
+
+
+# Terms of a request: array<struct<field, values>>. Products: the columns of operators.normalize.
+OBSERVED = {"audience": "audiences", "material": "materials", "color": "colors", "brand": "brands", "size": "sizes", "style": "styles"}
+# How sure a feature named in a text is.
+FEATURE_CONFIDENCE = 0.75
+
+
+def threshold_of(value: float) -> float:
+    """A checked threshold."""
+    if not 0.0 <= value <= 1.0:
+        raise ValueError("a threshold is a share")
+    return value
+
+
+def _marked(phrase: Column) -> Column:
+    """A text whose word borders are marked, so that a plain search finds whole words only."""
+    return F.regexp_replace(phrase, "(?<=[a-z0-9])(?![a-z0-9])|(?<![a-z0-9])(?=[a-z0-9])", "\u0001")
+
+
+def phrase_in(text: Column, phrase: Column) -> Column:
+    """Whether a normalised text holds a normalised phrase as whole words."""
+    return (phrase != "") & F.contains(_marked(text), _marked(phrase))
+
+
+def match_values(observed: Column, wanted: Column, excluded: bool, threshold: float = THRESHOLD) -> tuple[Column, Column]:
+    """(state, confidence) of observed (value, confidence) pairs against wanted values: the surest that matches decides,
+    and if none does the surest of all."""
+    sure = lambda a: F.array_max(F.transform(a, lambda o: o["confidence"]))
+    hit = sure(F.filter(observed, lambda o: F.array_contains(wanted, o["value"])))
+    most = sure(observed)
+    yes = F.when(hit >= threshold, "mismatch").otherwise("unknown") if excluded else F.lit("match")
+    no = F.when(most < threshold, "unknown").otherwise("match" if excluded else "mismatch")
+    return F.when(most.isNull(), "unknown").when(hit.isNotNull(), yes).otherwise(no), F.coalesce(hit, most, F.lit(0.0))
+
+
+def match_features(features: Column, wanted: Column, excluded: bool) -> tuple[Column, Column]:
+    """(state, confidence): a feature text is never sure enough to be a mismatch."""
+    spaced = F.transform(wanted, normalized_phrase)
+    hit = F.exists(features, lambda f: F.exists(spaced, lambda w: phrase_in(normalized_phrase(f), w)))
+    state = F.when(hit, "unknown" if excluded else "match").otherwise("unknown")
+    return state, F.when(F.size(features) > 0, FEATURE_CONFIDENCE).otherwise(0.0)
+
+
+def match_bound(field: Column, wanted: Column, price: Column) -> tuple[Column, Column]:
+    bound = F.get(wanted, F.size(wanted) - 1).try_cast("double")
+    inside = F.when(field == "price_min", price["value"] >= bound).otherwise(price["value"] <= bound)
+    state = F.when(price.isNull(), "unknown").when(inside, "match").otherwise("mismatch")
+    return state, F.coalesce(price["confidence"], F.lit(0.0))
+
+
+def evaluate(terms: Column, excluded: bool = False, threshold: float = THRESHOLD, product: str = "") -> Column:
+    """(field, expected, state, confidence, reason) of each term against the product in the row."""
+    threshold_of(threshold)
+    col = lambda c: F.col(f"{product}{c}")
+
+    def one(t: Column) -> Column:
+        field, wanted = t["field"], F.array_distinct(t["values"])
+        leaves = F.transform(col("leaf_categories"), lambda e: e["value"])
+        leaf_sure = F.array_max(F.transform(col("leaf_categories"), lambda e: e["confidence"]))
+        found = {
+            "price": (field.isin("price_min", "price_max"), match_bound(field, wanted, col("price"))),
+            "category": (field == "category", match_category(wanted, leaves, col("category_path"), leaf_sure, excluded)),
+            "features": (field.isin("feature", "use_case"), match_features(col("features"), wanted, excluded)),
+        } | {f: (field == f, match_values(col(c), wanted, excluded, threshold)) for f, c in OBSERVED.items()}
+        state = F.raise_error(F.concat(F.lit("no such field: "), field)).cast("string")
+        sure = F.lit(None).cast("double")
+        for is_it, (s, c) in found.values():
+            state, sure = F.when(is_it, s).otherwise(state), F.when(is_it, c).otherwise(sure)
+        why = F.concat(F.when(state == "unknown", "nothing sure is known of the ").when(state == "match", "the product fits the ").otherwise("the product conflicts with the "), F.lit("excluded " if excluded else "wanted "), field)
+        return F.struct(field.alias("field"), wanted.alias("expected"), state.alias("state"), sure.cast("double").alias("confidence"), why.alias("reason"))
+
+    return F.transform(terms, one)
+
+
+def with_category(hard: Column, category: Column) -> Column:
+    """Hard terms, the category first if there is one and no term names it."""
+    own = F.array(F.struct(F.lit("category").alias("field"), F.array(category).alias("values")))
+    return F.when(category.isNull() | F.exists(hard, lambda t: t["field"] == "category"), hard).otherwise(F.concat(own, hard))
+
+
+def decisive(hard: Column, excluded: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether a product goes: a hard or excluded term conflicts surely enough."""
+    return F.exists(F.concat(hard, excluded), lambda m: (m["state"] == "mismatch") & (m["confidence"] >= threshold))
+
+
+def states(matches: Column) -> Column:
+    return F.transform(matches, lambda m: m["state"])

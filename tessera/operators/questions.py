@@ -43,12 +43,14 @@ def _hinted(tags: Column) -> Column:
 def choose(sessions: DataFrame, facets: DataFrame) -> DataFrame:
     """(qid, attribute, value) of the next question; a null attribute ends the questions.
 
-    sessions: qid, turn, route, category, known, blocked, tags (arrays), dry, other_used. In order: nothing from the
+    sessions: qid, turn, route, category, known, blocked, tags (arrays), dry, other_used, and maybe evidence, whether
+    the request names a product although its category is not known. In order: nothing from the
     last turn on; the category if it is not known; ``other`` once after two dry rounds; the open attribute of the
     greatest relevance x gain (x 1.08 where the profile hints at it), ties in the route's order."""
     ask = lambda a: ~F.array_contains("blocked", a)
+    evidence = F.coalesce("evidence", F.lit(False)) if "evidence" in sessions.columns else F.lit(False)
     early = (
-        F.when(F.col("turn") >= LAST_TURN, "none").when(F.col("category").isNull() & ask("category"), "category")
+        F.when(F.col("turn") >= LAST_TURN, "none").when(F.col("category").isNull() & ~evidence & ask("category"), "category")
         .when((F.col("dry") >= DRY) & ~F.col("other_used") & ask("other"), "other")
     )
     known = sessions.withColumn("early", early)
