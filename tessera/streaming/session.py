@@ -1,73 +1,73 @@
-"""Session state: a pure reducer, folded in batch or kept by Structured Streaming."""
+"""Session state as one pure reducer: folded over stored conversations, or kept by Structured Streaming."""
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.lexicons import ALIASES
+from ..dialogue.grammar import parse
+from ..dialogue.state import State, apply
 
-_FIELD = {a: (field, c) for field, table in ALIASES.items() for a, c in table.items()}
-_ANY = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(map(re.escape, _FIELD), key=len, reverse=True)) + r")(?![a-z0-9])")
-_NOT = re.compile(r"(?:\bno|\bnot|\bwithout|\banything but|\bexcept)\s+(?:\w+\s+)?$")
-_RESET = re.compile(r"\b(?:start over|reset|forget (?:everything|all))\b")
-_BUDGET = re.compile(r"\b(?:under|below|less than|up to|no more than)\s+\$?\s*([0-9]+(?:\.[0-9]+)?)")
+SCHEMA = "conv_id long, turn long, state string, dry int"
+LAST = 10
 
-State = dict[str, list[str]]
 
+class Fold:
+    """The state of one conversation: constraints, messages heard, messages since one changed them."""
 
-def reduce(state: State, message: str | None) -> State:
-    """The state after a message: wanted and excluded values, price limit, whether this turn changed nothing."""
-    text = (message or "").lower()
-    if _RESET.search(text):
-        return {}
-    new = {k: list(v) for k, v in state.items() if k != "dry"}
-    for m in _ANY.finditer(text):
-        field, value = _FIELD[m[0]]
-        out = bool(_NOT.search(text[max(0, m.start() - 32) : m.start()]))
-        add, drop = (f"not_{field}", field) if out else (field, f"not_{field}")
-        new[drop] = [v for v in new.get(drop, []) if v != value]
-        new[add] = [*[v for v in new.get(add, []) if v != value], value]
-    if m := _BUDGET.search(text):
-        new["price_max"] = [f"{float(m[1]):g}"]
-    new = {k: v for k, v in new.items() if v}
-    if new == {k: v for k, v in state.items() if k != "dry"}:
-        new["dry"] = [str(int(state.get("dry", ["0"])[0]) + 1)]
-    return new
+    def __init__(self, text: str | None = None):
+        kept = json.loads(text) if text else {}
+        self.state, self.heard, self.dry = State.from_dict(kept.get("state", {})), kept.get("heard", 0), kept.get("dry", 0)
 
+    def dumps(self) -> str:
+        return json.dumps({"state": self.state.to_dict(False), "heard": self.heard, "dry": self.dry}, sort_keys=True)
 
-SCHEMA = "conv_id long, turn long, state string"
+    def hear(self, message: str | None) -> tuple[str, int]:
+        """(state as JSON, dry) after a message; null says nothing. The state's turn stays at ten from the tenth on."""
+        self.heard += 1
+        new = apply(self.state, parse(message or "", self.state, min(self.heard, LAST)))
+        self.dry = 0 if new.constraints() != self.state.constraints() else self.dry + 1
+        self.state = new
+        return json.dumps(new.to_dict(False), sort_keys=True), self.dry
 
 
-def _text(state: State) -> str:
-    return ";".join(f"{k}={','.join(v)}" for k, v in sorted(state.items()))
+def _rows(turns: DataFrame) -> DataFrame:
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"))
 
 
 def fold(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, state after it) of whole conversations in batch."""
+    """(conv_id, turn, state, dry) after each row of (conv_id, turn, text), rows in order of turn and text; null
+    conversations are one. Rows stream through in sorted partitions, so a conversation of any length needs one state."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: State = {}
-        pdf = pdf.sort_values(["turn", "text"], kind="stable")
-        states = [_text(state := reduce(state, t if isinstance(t, str) else None)) for t in pdf["text"]]
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "state": states})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, None
+        for pdf in batches:
+            out = []
+            for conv, text in zip(pdf["conv_id"], pdf["text"]):
+                key = None if pd.isna(conv) else int(conv)
+                if kept is None or key != now:
+                    now, kept = key, Fold()
+                out.append(kept.hear(text if isinstance(text, str) else None))
+            states, dry = zip(*out) if out else ((), ())
+            yield pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "state": list(states), "dry": list(dry)})
 
-    return turns.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(run, SCHEMA)
+    ordered = _rows(turns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text")
+    return ordered.mapInPandas(run, SCHEMA)
 
 
 def stream(turns: DataFrame) -> DataFrame:
     """The same over a stream: state is kept between micro-batches, turns of one batch are ordered."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state: State = dict(p.split("=") for p in kept.get[0].split(";") if p) if kept.exists else {}
-        state = {k: v.split(",") for k, v in state.items()}
+        folded = Fold(kept.get[0] if kept.exists else None)
         pdf = pd.concat(list(batches)).sort_values(["turn", "text"], kind="stable")
-        states = [_text(state := reduce(state, t if isinstance(t, str) else None)) for t in pdf["text"]]
-        kept.update((_text(state),))
-        yield pd.DataFrame({"conv_id": key[0], "turn": pdf["turn"], "state": states})
+        out = [folded.hear(t if isinstance(t, str) else None) for t in pdf["text"]]
+        kept.update((folded.dumps(),))
+        yield pd.DataFrame({"conv_id": key[0], "turn": pdf["turn"], "state": [s for s, _ in out], "dry": [d for _, d in out]})
 
-    return turns.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(run, SCHEMA, "state string", "append", GroupStateTimeout.NoTimeout)
+    return _rows(turns).groupBy("conv_id").applyInPandasWithState(run, SCHEMA, "state string", "append", GroupStateTimeout.NoTimeout)
