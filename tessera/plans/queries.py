@@ -228,16 +228,17 @@ def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("segment", "n", *(F.round(c, 6).alias(c) for c in ("hit", "mrr", "mttc", "technical")))
 
 
-_DENSE = "WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 20)"
+#: Searches ask every row whose id is divisible by 50.
+_DENSE = "WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS raw FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), t AS (SELECT qid, id, round(raw, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(raw, 12) DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 20)"
 
 
-def _dense(spark: SparkSession, d: str, which: str) -> DataFrame:
+def _dense(spark: SparkSession, d: str) -> DataFrame:
     v = load(spark, d, "embeddings")
-    return R.dense(v, v.filter(which).withColumnRenamed("vec_id", "qid"), 20)
+    return R.dense(v, v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid"), 20).withColumn("score", F.round("score", 6))
 
 
-def _exclusive(spark: SparkSession, d: str, which: str) -> DataFrame:
-    labels, found = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), _dense(spark, d, which)
+def _exclusive(spark: SparkSession, d: str) -> DataFrame:
+    labels, found = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), _dense(spark, d)
     asked = labels.select(F.col("id").alias("qid"), F.col("label").alias("own"))
     named = found.select("qid", "id").distinct().join(labels, "id").join(asked, "qid").filter("label = own").select("qid", "id")
     return found.join(named, ["qid", "id"], "left_anti").groupBy("qid").agg(F.count(F.lit(1)).alias("exclusive"))
@@ -248,26 +249,12 @@ _LABELLED = "SELECT qid, count(*) AS exclusive FROM t WHERE NOT EXISTS (SELECT 1
 
 @query(f"{_DENSE} SELECT * FROM t")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d, "vec_id < 5")
+    return _dense(spark, d)
 
 
 @query(f"{_DENSE} {_LABELLED}")
 def dense_exclusive(spark: SparkSession, d: str) -> DataFrame:
-    return _exclusive(spark, d, "vec_id < 5")
-
-
-#: The whole query set: every row whose id is divisible by 50.
-_DENSE_WHOLE = _DENSE.replace("q.vec_id < 5", "q.vec_id % 50 = 0")
-
-
-@query(f"{_DENSE_WHOLE} SELECT * FROM t")
-def dense_topk_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d, "vec_id % 50 = 0")
-
-
-@query(f"{_DENSE_WHOLE} {_LABELLED}")
-def dense_exclusive_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _exclusive(spark, d, "vec_id % 50 = 0")
+    return _exclusive(spark, d)
 
 
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all(lower(source || ' ' || lang), '[a-z0-9]+'), ' ') AS title, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})))) AS n_terms FROM documents")

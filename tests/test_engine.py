@@ -127,7 +127,10 @@ def test_batch_fold_equals_stream(spark, tmp_path):
     rows = [(1, 0, "a red or blue one under $50"), (1, 1, "not blue"), (1, 2, "hm"), (2, 0, None), (2, 1, "leather"), (2, 2, "start over")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
     want = {(r["conv_id"], r["turn"]): r["state"] for r in session.fold(turns).collect()}
-    assert want[1, 1] == "color=red;not_color=blue;price_max=50" and want[1, 2].startswith("color=red;dry=1") and want[2, 2] == ""
+    after = json.loads(want[1, 1])
+    assert (after["soft_preferences"], after["hard_constraints"], after["excluded"], after["turn"]) == ({"color": ["red"]}, {"price_max": 50}, {"color": ["blue"]}, 2)
+    assert json.loads(want[1, 2]) == after | {"turn": 3} and json.loads(want[2, 2]) == {"schema_version": "0.1.0", "turn": 3}
+    assert [r["dry"] for r in session.fold(turns).orderBy("conv_id", "turn").collect()] == [0, 0, 1, 1, 0, 0]
     turns.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in"))
     q = session.stream(stream).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
@@ -139,7 +142,7 @@ def test_batch_fold_equals_stream(spark, tmp_path):
 def test_dense_answers_the_whole_query_set_in_blocks(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = sorted(r["vec_id"] for r in v.filter("vec_id % 50 = 0").collect())
-    assert sorted({r["qid"] for r in QUERIES["dense_topk_whole"](spark, SF).collect()}) == want
+    assert sorted({r["qid"] for r in QUERIES["dense_topk"](spark, SF).collect()}) == want
     rows = [(i, [float(i % 7), float(i % 3) - 1, 0.5]) for i in range(1203)] + [(1203, None)]
     many = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for k, block in ((4, 1000), (1300, 500)):
@@ -210,6 +213,28 @@ def test_questions(spark):
     assert [r[0] for r in asked.select(K.safe_question(F.col("a"), F.col("n"), F.col("m"))).collect()] == ["feature", "style", None]
 
 
+def test_vectors_whatever_file_is_read_first(spark, tmp_path):
+    from tessera.sources.vectors import validate_vectors, vectors_error
+
+    rows = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 2.0])], "id string, embedding array<double>")
+    path = str(tmp_path / "v")
+    write_vectors(rows, path, model_id="m", model_revision="r", catalog_sha256="c")
+    assert vectors_error(spark, path) is None and vectors_error(spark, path, "other") == "VectorsError"
+    for foreign in (rows.selectExpr("'x' AS id", "1 AS embedding"), rows.selectExpr("2.5D AS id", "embedding")):
+        foreign.coalesce(1).write.mode("append").parquet(f"{path}/vectors")
+        with pytest.raises(VectorsError):
+            read_vectors(spark, path)
+        assert optional_vectors(spark, path) == ("off", None)
+    odd = spark.createDataFrame([("a", [0.6, 0.8]), (None, [2.0]), ("c", None), ("d", [0.0])], rows.schema)
+    assert validate_vectors(odd) == {"null_ids": 1, "unusable": 2, "not_unit": 1, "dimensions": 3, "rows": 4}
+
+
+def test_close_scores_keep_their_order(spark):
+    v = spark.createDataFrame([(1, [1.0]), (2, [1.0000003]), (3, [1.0000003])], "vec_id int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0])], "qid int, embedding array<double>")
+    assert [r["id"] for r in R.dense(v, asked, 2).orderBy("rank").collect()] == [2, 3]
+
+
 def test_vectors(spark, tmp_path):
     rows = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 2.0])], "id string, embedding array<double>")
     names = {"model_id": "m", "model_revision": "r", "catalog_sha256": "c"}
