@@ -7,6 +7,8 @@ import html
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 SCHEMA_VERSION = "product-query-text-v1"
 # Details that are told, in order, with their labels.
 DETAILS = {
@@ -23,15 +25,16 @@ def unescaped(text: Column) -> Column:
     out = text
     for name in usual:
         out = F.replace(out, F.lit(f"&{name};"), F.lit(html.unescape(f"&{name};")))
-    parts = F.regexp_extract_all(out, F.lit(r"&#[0-9]{1,7};|[^&]+|&"), F.lit(0))
     number = lambda p: F.regexp_extract(p, r"^&#([0-9]+);$", 1)
     char = lambda p: F.when(F.rlike(p, F.lit("^&#[0-9]+;$")), F.decode(F.unhex(F.lpad(F.hex(number(p).cast("long")), 8, "0")), "UTF-32")).otherwise(p)
-    return F.replace(F.when(out.rlike(r"&#[0-9]{1,7};"), F.array_join(F.transform(parts, char), "")).otherwise(out), F.lit("&amp;"), F.lit("&"))
+    numeric = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"&#[0-9]{1,7};|[^&]+|&"), F.lit(0)), lambda p: char(p)), "")
+    return F.replace(let(out, lambda t: F.when(t.rlike(r"&#[0-9]{1,7};"), numeric(t)).otherwise(t)), F.lit("&amp;"), F.lit("&"))
 
 
 def clean(text: Column, limit: int | None = None) -> Column:
     """Without tags, white space squeezed, edges without ``,.;|`` and spaces; null is empty."""
-    bare = F.regexp_replace(unescaped(F.coalesce(text.cast("string"), F.lit(""))), "<[^>]+>", " ")
+    plain = let(F.coalesce(text.cast("string"), F.lit("")), lambda t: F.when(F.contains(t, F.lit("&")), unescaped(t)).otherwise(t))
+    bare = F.regexp_replace(plain, "<[^>]+>", " ")
     out = F.regexp_replace(F.regexp_replace(bare, r"[\s  -    　]+", " "), r"^[ ,.;|]+|[ ,.;|]+$", "")
     return F.rtrim(F.substring(out, 1, limit)) if limit else out
 
@@ -40,8 +43,8 @@ def _told(values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda v: v != ""))
 
 
-def _part(label: str, text: Column, some: Column) -> Column:
-    return F.when(some, F.concat(F.lit(f"{label}: "), text, F.lit(".")))
+def _part(label: str, text: Column) -> Column:
+    return let(text, lambda t: F.when(t != "", F.concat(F.lit(f"{label}: "), t, F.lit("."))))
 
 
 def product_text(p: str = "") -> Column:
@@ -50,17 +53,20 @@ def product_text(p: str = "") -> Column:
     none = F.array().cast("array<string>")
     title = clean(col("title"), 200)
     parts = _told(F.flatten(F.transform(F.coalesce(col("categories"), none), lambda c: F.transform(F.split(c, ","), lambda x: clean(x)))))
-    path = F.slice(parts, F.greatest(F.size(parts) - 3, F.lit(1)), F.lit(4))
+    path = let(parts, lambda p: F.slice(p, F.greatest(F.size(p) - 3, F.lit(1)), F.lit(4)))
     features = F.slice(_told(F.transform(F.coalesce(col("features"), none), lambda f: clean(f, 160))), 1, 6)
-    named = F.transform(F.map_entries(col("details")), lambda e: F.struct(F.lower(clean(e["key"])).alias("key"), e["value"].alias("value")))
-    one = lambda key: F.element_at(F.filter(named, lambda e: e["key"] == key), -1)["value"]
-    found = lambda key: F.exists(named, lambda e: e["key"] == key)
-    told = [F.when(found(k), one(k)) for k in DETAILS]
-    details = F.slice(F.array_compact(F.array(*(F.when(clean(v, 120) != "", F.concat(F.lit(f"{label} "), clean(v, 120))) for v, label in zip(told, DETAILS.values())))), 1, 8)
+    entry = lambda e: F.struct(F.lower(clean(e["key"])).alias("key"), clean(e["value"], 120).alias("value"))
+    known = F.filter(F.transform(F.map_entries(F.coalesce(col("details"), F.create_map().cast("map<string,string>"))), lambda e: entry(e)), lambda e: e["key"].isin(list(DETAILS)))
+    table = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("label")) for k, v in DETAILS.items()))
+
+    def told(entries: Column) -> Column:
+        last = lambda d: F.get(F.filter(entries, lambda e: e["key"] == d["key"]), F.size(F.filter(entries, lambda e: e["key"] == d["key"])) - 1)["value"]
+        return F.transform(table, lambda d: F.concat(d["label"], F.lit(" "), F.nullif(last(d), F.lit(""))))
+
+    details = F.slice(F.array_compact(let(known, told)), 1, 8)
     text = clean(F.array_join(F.filter(F.transform(F.coalesce(col("description"), none), lambda x: clean(x)), lambda d: d != ""), " "), 350)
     return F.concat_ws(
-        " ", _part("Product", title, title != ""), _part("Category", F.array_join(path, " > "), F.size(path) > 0), _part("Features", F.array_join(features, "; "), F.size(features) > 0),
-        _part("Details", F.array_join(details, "; "), F.size(details) > 0), _part("Description", text, text != ""),
+        " ", _part("Product", title), _part("Category", F.array_join(path, " > ")), _part("Features", F.array_join(features, "; ")), _part("Details", F.array_join(details, "; ")), _part("Description", text),
     )
 
 
@@ -84,5 +90,5 @@ def query_text() -> Column:
     raw = clean(redacted(F.when(F.trim("raw_context") != "", F.trim("raw_context")).otherwise(F.col("current_message")), _values(F.col("excluded"))), 500)
     return F.concat_ws(
         " ", F.when(F.col("category").isNotNull(), F.concat(F.lit("Looking for "), F.replace("category", F.lit("_"), F.lit(" ")), F.lit("."))),
-        _part("Use", F.array_join(use, "; "), F.size(use) > 0), _part("Preferences", F.array_join(rest, "; "), F.size(rest) > 0), _part("Request", raw, raw != ""),
+        _part("Use", F.array_join(use, "; ")), _part("Preferences", F.array_join(rest, "; ")), _part("Request", raw),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ LEGACY_STOP_WORDS = "a about additional an and are as at be but by closest do do
 RANK_STOP_WORDS = "a an and are as at be but by for from have i in is it me my need of on or please some that the this to under want with would you your".split()
 
 
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)`` with the value worked out once, however often ``made`` names it; the plan stays small."""
+    return F.element_at(F.transform(F.array(value), lambda v: made(v)), 1)
+
+
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9, lower-cased; null has none."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_empty
+from ..storage import stored
 
 MISS_TURN = 11
 # The language that tells buying from browsing.
@@ -15,10 +19,11 @@ WEAK = r"\b(?:looking for|need|want)\b"
 
 
 def missing(df: DataFrame) -> DataFrame:
-    """(field, missing, rate) of every column in one scan."""
-    counts = df.select(*(is_empty(F.col(c), t).cast("long").alias(c) for c, t in df.dtypes)).agg(F.count(F.lit(1)).alias("_n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in df.columns))
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("missing")) for c in df.columns))).alias("x")
-    return counts.select("_n", each).select("x.field", "x.missing", (F.col("x.missing") / F.nullif(F.col("_n"), F.lit(0))).alias("rate"))
+    """(field, missing, rate) of every column in one scan; a null rate of an empty table."""
+    sums = (F.coalesce(F.sum(is_empty(F.col(f"`{c}`"), t).cast("long")), F.lit(0)).alias(f"c{i}") for i, (c, t) in enumerate(df.dtypes))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *sums)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"c{i}").alias("missing")) for i, c in enumerate(df.columns)))).alias("x")
+    return counts.select("n", each).select("x.field", "x.missing", (F.col("x.missing") / F.nullif(F.col("n"), F.lit(0))).alias("rate"))
 
 
 def duplicates(df: DataFrame, key: Column) -> DataFrame:
@@ -27,11 +32,26 @@ def duplicates(df: DataFrame, key: Column) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("distinct_keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated_rows"))
 
 
+def values_at(df: DataFrame, column: str, places: Callable[[int], dict[str, int]]) -> tuple[int, DataFrame]:
+    """(n, row): the values at some places (from 0) of a column in order, nulls left out. ``places``: of n, by name.
+
+    Distinct values are counted, ordered by ranges and their running counts searched, so no task sorts all values."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    parts = stored(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    sums = parts.groupBy("part").agg(F.sum("c").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
+    run = parts.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+    n = parts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    return n, run.agg(F.min("v").alias("least"), F.max("v").alias("most"), *(F.min(F.when(F.col("upto") > p, F.col("v"))).alias(k) for k, p in places(n).items()))
+
+
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
-    """count, min, quartiles and p95 by linear interpolation, max."""
-    q = F.percentile(column, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
-    out = df.agg(F.count(column).alias("n"), F.min(column).alias("least"), q.alias("q"), F.max(column).alias("most"))
-    return out.select("n", "least", *(F.get("q", F.lit(i)).alias(p) for i, p in enumerate(("p25", "median", "p75", "p95"))), "most")
+    """count, min, quartiles and p95 by linear interpolation, max; nulls are left out, of none all but the count are null."""
+    shares = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    at = lambda n: {f"{k}_{e}": f(p * (n - 1)) for k, p in shares.items() for e, f in (("low", math.floor), ("high", math.ceil))}
+    n, row = values_at(df, column, at)
+    between = lambda k, p: F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * F.lit(p * (n - 1) - math.floor(p * (n - 1)))
+    return row.select(F.lit(n).cast("long").alias("n"), "least", *(between(k, p).cast("double").alias(k) for k, p in shares.items()), "most")
 
 
 def most_common(df: DataFrame, value: Column, k: int) -> DataFrame:
@@ -103,9 +123,11 @@ def metrics(sessions: DataFrame, segment: str | None = None) -> DataFrame:
 
 
 def dry_rounds(turns: DataFrame, key: str, order: list[str], changed: Column) -> DataFrame:
-    """Turns since something last changed, 0 on a change."""
+    """``turns`` with ``dry``, turns since something last changed, 0 on a change; it takes the place of a column of that name."""
+    names = [n for n in (f"_{i}" for i in range(len(turns.columns) + 2)) if n not in turns.columns]
+    change, island = names[:2]
     past = Window.partitionBy(key).orderBy(*order)
-    island = F.sum(changed.cast("int")).over(past.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = turns.withColumn("_change", changed).withColumn("_island", island)
-    n = F.row_number().over(Window.partitionBy(key, "_island").orderBy(*order))
-    return marked.withColumn("dry", F.when(F.col("_island") == 0, n).otherwise(n - 1)).drop("_change", "_island")
+    marked = turns.withColumn(change, F.coalesce(changed, F.lit(False)))
+    marked = marked.withColumn(island, F.sum(F.col(change).cast("int")).over(past.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    n = F.row_number().over(Window.partitionBy(key, island).orderBy(*order))
+    return marked.withColumn("dry", F.when(F.col(island) == 0, n).otherwise(n - 1)).drop(change, island)

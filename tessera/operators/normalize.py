@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import AUDIENCES, canonical_column, known_values, plain
-from ..functions.text import normalized_phrase
+from ..functions.text import let, normalized_phrase
 from ..sources.catalog import priced
 
 # How sure a field is, and the details that state an attribute outright.
@@ -58,8 +58,12 @@ def _detail(names: list[str]) -> Column:
 
 def ordered(evidence: Column) -> Column:
     """Each value once, by its first and so surest evidence; the surest first, then by value."""
-    found = F.transform(evidence, lambda e: e["value"])
-    first = F.filter(evidence, lambda e, i: (e["value"] != "") & (F.array_position(found, e["value"]) == i + 1))
+
+    def once(all_: Column) -> Column:
+        found = F.transform(all_, lambda e: e["value"])
+        return F.filter(all_, lambda e, i: (e["value"] != "") & (F.array_position(found, e["value"]) == i + 1))
+
+    first = let(evidence, once)
     keyed = F.array_sort(F.transform(first, lambda e: F.struct((-e["confidence"]).alias("k"), e["value"].alias("value"), e["source"].alias("source"))))
     return F.transform(keyed, lambda e: F.struct(e["value"].alias("value"), e["source"].alias("source"), (-e["k"]).alias("confidence")))
 
@@ -132,8 +136,8 @@ def named_in(phrase: Column, field: str) -> Column:
     from ..functions.lexicons import ALIASES
 
     order = sorted(ALIASES[field], key=lambda a: (-len(plain(a)), a))
-    each = [F.when(phrase.rlike(rf"(?<![a-z0-9]){plain(a)}(?![a-z0-9])"), F.lit(ALIASES[field][a])) for a in order]
-    return F.array_distinct(F.array_compact(F.array(*each)))
+    table = F.array(*(F.struct(F.lit(rf"(?<![a-z0-9]){plain(a)}(?![a-z0-9])").alias("pattern"), F.lit(ALIASES[field][a]).alias("value")) for a in order))
+    return let(phrase, lambda p: F.array_distinct(F.transform(F.filter(table, lambda t: F.rlike(p, t["pattern"])), lambda t: t["value"])))
 
 
 def build_stats(normalized: DataFrame, seconds: float) -> dict:

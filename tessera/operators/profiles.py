@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..evaluation import records
@@ -214,25 +216,12 @@ def bm25_profile(index: Index, samples: DataFrame, products: DataFrame, limit: i
 
 def floor_percentile(df: DataFrame, column: str, p: float) -> DataFrame:
     """The value at place ``floor(p * (n - 1))`` of the ordered values; one row, null of none."""
-    return _at(df, column, F.floor(F.lit(p) * (F.col("n") - 1)))
+    return A.values_at(df, column, lambda n: {"at": math.floor(p * (n - 1))})[1].select(F.col("at").alias(column))
 
 
 def round_percentile(df: DataFrame, column: str, p: float) -> DataFrame:
     """The value at place ``round(p * (n - 1))``, halves to even."""
-    return _at(df, column, F.least(F.col("n") - 1, F.bround(F.lit(p) * (F.col("n") - 1)).cast("long")))
-
-
-def _at(df: DataFrame, column: str, place: Column) -> DataFrame:
-    """By a table of distinct values with running counts: rows are counted before anything is ordered, and ordered by
-    ranges of values."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    ends = parts.groupBy("part").agg(F.sum("c").alias("s"))
-    before = ends.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
-    run = parts.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
-    want = total.select(place.alias("place"))
-    return run.join(F.broadcast(want), F.col("upto") > F.col("place")).agg(F.min("v").alias(column))
+    return A.values_at(df, column, lambda n: {"at": min(n - 1, round(p * (n - 1)))})[1].select(F.col("at").alias(column))
 
 
 def dense_summary(diagnostics: DataFrame) -> DataFrame:

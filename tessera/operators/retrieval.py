@@ -11,23 +11,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms, tokens
+from ..storage import stored
 
 K1, B, RRF_K, ABSENT_RANK = 1.2, 0.75, 60, 201
+#: terms of all queries that are looked for before anything is exploded; more are joined
+MOST_LITERALS = 10_000
 
 
 def search(docs: DataFrame, queries: DataFrame, weights: dict[str, float], id_col: str, fields: list[str] | None = None, most_terms: int = 60) -> DataFrame:
     """(qid, id, score) of all documents that hold a term of a query; greater is better. ``fields``: those that may hit;
-    lengths count all of ``weights``. Only postings of query terms leave the scan, counted per document first."""
+    lengths count all of ``weights``. For a few queries of a corpus that is not indexed: texts are read once, into a table of
+    lengths and of the queries' terms alone; ``index`` has the stored form. Null texts have no words, null queries no rows."""
     asked = queries.select("qid", F.explode(terms(F.col("query"), most=most_terms)).alias("term"))
     wanted = asked.select("term").distinct()
-    words = docs.select(F.col(id_col).alias("id"), *(tokens(F.col(f)).alias(f) for f in weights))
-    size = sum((F.size(f) for f in weights), F.lit(0))
-    totals = words.select(size.alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).first()
-    part = lambda f: F.transform(F.col(f), lambda t: F.struct(t.alias("term"), F.lit(weights[f]).alias("w")))
-    each = words.select("id", size.alias("n"), F.explode(F.concat(*(part(f) for f in fields or weights))).alias("p")).select("id", "n", "p.term", "p.w")
-    freq = each.join(_queries(wanted), "term").groupBy("id", "n", "term").agg(F.sum("w").alias("f"))
+    some = [r[0] for r in wanted.limit(MOST_LITERALS + 1).collect()]
+    is_asked = (lambda t: t.isin(some)) if len(some) <= MOST_LITERALS else (lambda t: F.lit(True))
+    words = docs.select(F.col(id_col).alias("id"), *(tokens(F.col(f)).alias(f"w{i}") for i, f in enumerate(weights)))
+    place = {f: i for i, f in enumerate(weights)}
+    part = lambda f: F.transform(F.filter(f"w{place[f]}", is_asked), lambda t: F.struct(t.alias("term"), F.lit(float(weights[f])).alias("w")))
+    size = sum((F.size(f"w{i}") for i in range(len(weights))), F.lit(0))
+    found = stored(words.select("id", size.alias("n"), F.concat(*(part(f) for f in fields or weights)).alias("p")), "found")
+    totals = found.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).first()
+    each = found.select("id", "n", F.explode("p").alias("p")).select("id", "n", "p.term", "p.w")
+    each = each if len(some) <= MOST_LITERALS else each.join(_queries(wanted), "term")
+    freq = each.groupBy("id", "n", "term").agg(F.sum("w").alias("f"))
     rate = lambda df: F.greatest(F.log((F.lit(totals["docs"]) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-    idf = freq.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", rate(F.col("df")).alias("idf"))
+    idf = stored(freq.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", rate(F.col("df")).alias("idf")), "idf")
     gain = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.lit(totals["mean"])))
     return freq.join(_queries(idf), "term").join(_queries(asked), "term").groupBy("qid", "id").agg(F.sum(gain).alias("score"))
 
