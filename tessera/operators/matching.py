@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constraints import match_category
-from ..functions.text import normalized_phrase
+from ..functions.text import let, normalized_phrase
 
 THRESHOLD = 0.85
 # Weights of the ranker's features.
@@ -72,40 +74,47 @@ def threshold_of(value: float) -> float:
     return value
 
 
-def _marked(phrase: Column) -> Column:
+def marked(phrase: Column) -> Column:
     """A text whose word borders are marked, so that a plain search finds whole words only."""
     return F.regexp_replace(phrase, "(?<=[a-z0-9])(?![a-z0-9])|(?<![a-z0-9])(?=[a-z0-9])", "\u0001")
 
 
 def phrase_in(text: Column, phrase: Column) -> Column:
     """Whether a normalised text holds a normalised phrase as whole words."""
-    return (phrase != "") & F.contains(_marked(text), _marked(phrase))
+    return (phrase != "") & F.contains(marked(text), marked(phrase))
 
 
-def match_values(observed: Column, wanted: Column, excluded: bool, threshold: float = THRESHOLD) -> tuple[Column, Column]:
+def match_values(observed: Column, wanted: Column, excluded: bool, threshold: float = THRESHOLD) -> Column:
     """(state, confidence) of observed (value, confidence) pairs against wanted values: the surest that matches decides,
     and if none does the surest of all."""
     sure = lambda a: F.array_max(F.transform(a, lambda o: o["confidence"]))
-    hit = sure(F.filter(observed, lambda o: F.array_contains(wanted, o["value"])))
-    most = sure(observed)
-    yes = F.when(hit >= threshold, "mismatch").otherwise("unknown") if excluded else F.lit("match")
-    no = F.when(most < threshold, "unknown").otherwise("match" if excluded else "mismatch")
-    return F.when(most.isNull(), "unknown").when(hit.isNotNull(), yes).otherwise(no), F.coalesce(hit, most, F.lit(0.0))
+
+    def decided(x: Column) -> Column:
+        hit, most = x["hit"], x["most"]
+        yes = F.when(hit >= threshold, "mismatch").otherwise("unknown") if excluded else F.lit("match")
+        no = F.when(most < threshold, "unknown").otherwise("match" if excluded else "mismatch")
+        return _match(F.when(most.isNull(), "unknown").when(hit.isNotNull(), yes).otherwise(no), F.coalesce(hit, most, F.lit(0.0)))
+
+    return let(F.struct(sure(F.filter(observed, lambda o: F.array_contains(wanted, o["value"]))).alias("hit"), sure(observed).alias("most")), decided)
+
+
+def _match(state: Column, sure: Column) -> Column:
+    return F.struct(state.alias("state"), sure.cast("double").alias("confidence"))
 
 
-def match_features(features: Column, wanted: Column, excluded: bool) -> tuple[Column, Column]:
+def match_features(features: Column, wanted: Column, excluded: bool) -> Column:
     """(state, confidence): a feature text is never sure enough to be a mismatch."""
-    spaced = F.transform(wanted, normalized_phrase)
-    hit = F.exists(features, lambda f: F.exists(spaced, lambda w: phrase_in(normalized_phrase(f), w)))
-    state = F.when(hit, "unknown" if excluded else "match").otherwise("unknown")
-    return state, F.when(F.size(features) > 0, FEATURE_CONFIDENCE).otherwise(0.0)
+    each = lambda words: F.transform(words, lambda w: marked(normalized_phrase(w)))
+    hit = let(each(F.filter(wanted, lambda w: normalized_phrase(w) != "")), lambda ws: F.exists(each(features), lambda f: F.exists(ws, lambda w: F.contains(f, w))))
+    state = F.lit("unknown") if excluded else F.when(hit, "match").otherwise("unknown")
+    return _match(state, F.when(F.size(features) > 0, FEATURE_CONFIDENCE).otherwise(0.0))
 
 
-def match_bound(field: Column, wanted: Column, price: Column) -> tuple[Column, Column]:
+def match_bound(field: Column, wanted: Column, price: Column) -> Column:
     bound = F.get(wanted, F.size(wanted) - 1).try_cast("double")
     inside = F.when(field == "price_min", price["value"] >= bound).otherwise(price["value"] <= bound)
     state = F.when(price.isNull(), "unknown").when(inside, "match").otherwise("mismatch")
-    return state, F.coalesce(price["confidence"], F.lit(0.0))
+    return _match(state, F.coalesce(price["confidence"], F.lit(0.0)))
 
 
 def evaluate(terms: Column, excluded: bool = False, threshold: float = THRESHOLD, product: str = "") -> Column:
@@ -113,25 +122,30 @@ def evaluate(terms: Column, excluded: bool = False, threshold: float = THRESHOLD
     threshold_of(threshold)
     col = lambda c: F.col(f"{product}{c}")
 
+    leaves = F.transform(col("leaf_categories"), lambda e: e["value"])
+    leaf_sure = F.array_max(F.transform(col("leaf_categories"), lambda e: e["confidence"]))
+
     def one(t: Column) -> Column:
         field, wanted = t["field"], F.array_distinct(t["values"])
-        leaves = F.transform(col("leaf_categories"), lambda e: e["value"])
-        leaf_sure = F.array_max(F.transform(col("leaf_categories"), lambda e: e["confidence"]))
-        found = {
-            "price": (field.isin("price_min", "price_max"), match_bound(field, wanted, col("price"))),
-            "category": (field == "category", match_category(wanted, leaves, col("category_path"), leaf_sure, excluded)),
-            "features": (field.isin("feature", "use_case"), match_features(col("features"), wanted, excluded)),
-        } | {f: (field == f, match_values(col(c), wanted, excluded, threshold)) for f, c in OBSERVED.items()}
-        state = F.raise_error(F.concat(F.lit("no such field: "), field)).cast("string")
-        sure = F.lit(None).cast("double")
-        for is_it, (s, c) in found.values():
-            state, sure = F.when(is_it, s).otherwise(state), F.when(is_it, c).otherwise(sure)
-        why = F.concat(F.when(state == "unknown", "nothing sure is known of the ").when(state == "match", "the product fits the ").otherwise("the product conflicts with the "), F.lit("excluded " if excluded else "wanted "), field)
-        return F.struct(field.alias("field"), wanted.alias("expected"), state.alias("state"), sure.cast("double").alias("confidence"), why.alias("reason"))
+        found = F.raise_error(F.concat(F.lit("no such field: "), field)).cast("struct<state:string,confidence:double>")
+        found = F.when(field.isin(list(OBSERVED)), match_values(_observed(field, col), wanted, excluded, threshold)).otherwise(found)
+        found = F.when(field.isin("feature", "use_case"), match_features(col("features"), wanted, excluded)).otherwise(found)
+        found = F.when(field == "category", _match(*match_category(wanted, leaves, col("category_path"), leaf_sure, excluded))).otherwise(found)
+        found = F.when(field.isin("price_min", "price_max"), match_bound(field, wanted, col("price"))).otherwise(found)
+        why = lambda s: F.concat(F.when(s == "unknown", "nothing sure is known of the ").when(s == "match", "the product fits the ").otherwise("the product conflicts with the "), F.lit("excluded " if excluded else "wanted "), field)
+        return let(found, lambda m: F.struct(field.alias("field"), wanted.alias("expected"), m["state"].alias("state"), m["confidence"].alias("confidence"), why(m["state"]).alias("reason")))
 
     return F.transform(terms, one)
 
 
+def _observed(field: Column, col: Callable[[str], Column]) -> Column:
+    """What the product is known to be in a field."""
+    out = F.lit(None).cast("array<struct<value:string,source:string,confidence:double>>")
+    for name, column in OBSERVED.items():
+        out = F.when(field == name, col(column)).otherwise(out)
+    return out
+
+
 def with_category(hard: Column, category: Column) -> Column:
     """Hard terms, the category first if there is one and no term names it."""
     own = F.array(F.struct(F.lit("category").alias("field"), F.array(category).alias("values")))

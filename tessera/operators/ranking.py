@@ -54,14 +54,14 @@ def _explained(rows: DataFrame, threshold: float) -> DataFrame:
         "_asked": terms(F.when(F.trim("structured_query") != "", F.col("structured_query")).otherwise(F.col("current_message")), RANK_STOP_WORDS),
         "_liked": F.array_distinct(F.flatten(F.transform("tags", lambda t: terms(t, RANK_STOP_WORDS)))),
     })
-    rows = rows.withColumn("_words", terms(F.col("_document"), RANK_STOP_WORDS))
+    rows = rows.withColumns({"_words": terms(F.col("_document"), RANK_STOP_WORDS), "_marked": M.marked(F.col("_document"))})
     leaves = F.transform("leaf_categories", lambda e: e["value"])
     sure = lambda ms, share: F.transform(F.filter(ms, lambda m: m["state"] == "mismatch"), lambda m: m["confidence"] * share)
     against = F.concat(sure(F.col("hard_matches"), 1.0), sure(F.col("excluded_matches"), 1.0), sure(F.col("soft_matches"), 0.5))
     category = F.when(F.array_contains(leaves, F.col("category")), 1.0).when(F.array_contains("category_path", F.col("category")), 0.75)
     unknown = F.filter(F.concat("hard_matches", "soft_matches", "excluded_matches"), lambda m: m["state"] == "unknown")
     return rows.withColumns({
-        "exact_phrase": _share(F.filter("_phrases", lambda p: M.phrase_in(F.col("_document"), p)), F.col("_phrases")),
+        "exact_phrase": _share(F.filter("_phrases", lambda p: F.contains("_marked", M.marked(p))), F.col("_phrases")),
         "feature_overlap": _share(F.array_intersect("_asked", "_words"), F.col("_asked")),
         "category_match": F.coalesce(category, F.lit(0.0)),
         "hard_match": M.match_ratio(M.states(F.col("hard_matches"))),

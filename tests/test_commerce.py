@@ -262,8 +262,9 @@ def test_embedding_texts(spark, engine):
 
 
 def test_command_line(spark, paths):
-    catalog, samples, d = paths
-    out = main(["evaluate", "--catalog", catalog, "--dataset", samples, "--output", str(d / "out.json")], spark)
-    assert json.loads((d / "out.json").read_text())["hit_rate_at_10"] == out["hit_rate_at_10"] == 1.0
+    catalog, _, d = paths
+    (d / "few.jsonl").write_text("\n".join(json.dumps(s) for s in SAMPLES[:2]) + "\n")
+    out = main(["evaluate", "--catalog", catalog, "--dataset", str(d / "few.jsonl"), "--output", str(d / "out.json")], spark)
+    assert json.loads((d / "out.json").read_text())["hit_rate_at_10"] == out["hit_rate_at_10"] == 1.0 and out["sample_count"] == 2
     assert main(["index", "--catalog", catalog, "--output", str(d / "index")], spark)["docs"] == 5
     assert [t["ask_attribute"] for t in main(["demo", "--catalog", catalog], spark)["turns"]][0] == "material"
