@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -89,8 +90,8 @@ def popular_hits(products: DataFrame, k: int = MOST_POPULAR) -> list[tuple[str,
 
 def _listed(hits: list[tuple[str, float]], route: str, rrf_k: float) -> Column:
     kind = "array<struct<id:string,evidence:" + EVIDENCE + ",rrf:double>>"
-    rows = [F.struct(F.lit(i).alias("id"), F.array(F.struct(F.lit(0), F.lit(route), F.lit(n), F.lit(s), F.lit(1.0))).alias("evidence"), F.lit(1 / (rrf_k + n)).alias("rrf")) for n, (i, s) in enumerate(hits, 1)]
-    return F.array(*rows).cast(kind)
+    rows = [{"id": i, "evidence": [{"place": 0, "route": route, "rank": n, "score": s, "weight": 1.0}], "rrf": 1 / (rrf_k + n)} for n, (i, s) in enumerate(hits, 1)]
+    return F.from_json(F.lit(json.dumps(rows)), kind)
 
 
 def retrieve(requests: DataFrame, index: Index, popular: list[tuple[str, float]], limit: int = 200, per_route: int = PER_ROUTE, rrf_k: float = RRF_K,
@@ -153,7 +154,7 @@ def legacy(requests: DataFrame, index: Index, popular: list[tuple[str, float]],
     if not fill:
         return best.filter(F.col("rank") <= k)
     have = requests.select("qid").join(best.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k)
-    more = have.select("qid", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode(F.array(*map(F.lit, fill))).alias("at", "id"))
+    more = have.select("qid", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode(F.from_json(F.lit(json.dumps(fill)), "array<string>")).alias("at", "id"))
     more = more.join(best.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"), (F.col("n") + 1 + F.col("at")).alias("place"))
     both = best.withColumn("place", F.col("rank").cast("long")).drop("rank").unionByName(more.withColumn("place", F.col("place").cast("long")))
     return top(both.withColumn("_first", -F.col("place")), k, "_first").select("qid", "id", "score", "rank")

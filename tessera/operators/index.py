@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis as N
 from ..functions.text import STOP_WORDS, terms
-from ..storage import read_file, write_file
+from ..storage import read_file, stored, write_file
 from .retrieval import K1, B, top
 
 # Weights of a product's fields, and the terms of a query that count.
@@ -88,8 +88,9 @@ class Index:
     def search(self, queries: DataFrame, k: int, weights: dict[str, float] = WEIGHTS, fields: list[str] | None = None, stop_words: list[str] = STOP_WORDS, most: int = MOST_TERMS) -> DataFrame:
         """(qid, id, score, rank) of the k best of each query (qid, query); ties by id. ``fields``: those that may hit, all
         by default; lengths count all. A query without terms has no rows."""
-        live = self.asked(queries, stop_words, most)
-        wanted = _small(live.select("bucket", "stem").distinct())
+        live = stored(self.asked(queries, stop_words, most), "asked")
+        small = F.broadcast if live.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else _small  # stems are no more than terms
+        wanted = small(live.select("bucket", "stem").distinct())
         only = [self.fields.index(f) for f in fields or self.fields]
         weight = lambda f: F.lit(float(weights.get(f, 0.0)))
         f = sum((weight(self.fields[i]) * F.col(f"f{i}") for i in only), F.lit(0.0))
@@ -101,9 +102,9 @@ class Index:
             df = self.terms.join(wanted, ["bucket", "stem"])
         total, mean = self.meta["docs"], max(self.meta["mean"], 1e-9)
         idf = F.greatest(F.log((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-        gains = hits.join(_small(df.select("bucket", "stem", idf.alias("idf"))), ["bucket", "stem"])
+        gains = hits.join(small(df.select("bucket", "stem", idf.alias("idf"))), ["bucket", "stem"])
         gains = gains.select("bucket", "stem", "id", (F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.lit(mean)))).alias("gain"))
-        scored = gains.join(_small(live), ["bucket", "stem"]).groupBy("qid", "id").agg(F.sum("gain").alias("score"))
+        scored = gains.join(small(live), ["bucket", "stem"]).groupBy("qid", "id").agg(F.sum("gain").alias("score"))
         return top(scored, k)
 
     def exact_rank(self, queries: DataFrame, targets: DataFrame, limit: int, **how) -> DataFrame:

@@ -366,14 +366,14 @@ def dialogue_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def closed_loop(spark: SparkSession, d: str) -> DataFrame:
-    """The first two turns of simulated customers, one for each nation, against the engine over the whole shop."""
+    """Simulated customers, one for each nation, in dialogues of up to ten turns against the engine over the whole shop."""
     from ..engine import Engine
     from ..evaluation import evaluate
 
     of = F.col("n_nationkey")
     scenario = F.when(of % 4 == 0, "buying").when(of % 4 == 1, "browsing").when(of % 4 == 2, "intent_override").otherwise("boundary")
     rows = load(spark, d, "nation").select(of.cast("string").alias("sample_id"), scenario.alias("scenario_type"), F.lit("easy").alias("difficulty_bucket"), F.concat(F.lit("P"), F.lpad((of * 3).cast("string"), 9, "0")).alias("target"))
-    return evaluate(Engine(spark, shop(spark, d)), rows.withColumn("raw", F.to_json(F.struct("sample_id", "scenario_type"))), turns=2)
+    return evaluate(Engine(spark, shop(spark, d)), rows.withColumn("raw", F.to_json(F.struct("sample_id", "scenario_type"))))
 
 
 __all__ = ["SQL", "shop"]
