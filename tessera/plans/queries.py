@@ -64,23 +64,24 @@ scored AS (
 )"""
 
 
-def _scores(spark: SparkSession, d: str, fields: list[str] | None = None) -> DataFrame:
-    return R.search(load(spark, d, "documents"), asked(spark), WEIGHTS, "doc_id", fields).withColumn("score", F.round("score", 6))
+def _best(spark: SparkSession, d: str, k: int, fields: list[str] | None = None) -> DataFrame:
+    scores = R.search(load(spark, d, "documents"), asked(spark), WEIGHTS, "doc_id", fields).withColumn("_raw", F.round("score", 12))
+    return R.top(scores, k, "_raw").drop("_raw").withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_bm25('true')}, r AS (SELECT qid, id, round(score, 6) AS score FROM scored) SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM r QUALIFY rank <= 10")
+@query(f"WITH {_bm25('true')}, r AS (SELECT qid, id, score AS raw, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= 10) SELECT qid, id, round(raw, 6) AS score, rank FROM r")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top(_scores(spark, d), 10)
+    return _best(spark, d, 10)
 
 
-@query(f"WITH {_bm25("field = 'source' OR field = 'lang'")}, r AS (SELECT qid, id, round(score, 6) AS score FROM scored) SELECT 'without_text' AS fields, *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM r QUALIFY rank <= 20")
+@query(f"WITH {_bm25("field = 'source' OR field = 'lang'")}, r AS (SELECT qid, id, score AS raw, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= 20) SELECT 'without_text' AS fields, qid, id, round(raw, 6) AS score, rank FROM r")
 def bm25_without_text(spark: SparkSession, d: str) -> DataFrame:
-    return R.top(_scores(spark, d, ["source", "lang"]), 20).withColumn("fields", F.lit("without_text"))
+    return _best(spark, d, 20, ["source", "lang"]).withColumn("fields", F.lit("without_text"))
 
 
-@query(f"WITH {_bm25("field = 'text'")}, r AS (SELECT qid, id, round(score, 6) AS score FROM scored) SELECT 'only_text' AS fields, *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM r QUALIFY rank <= 20")
+@query(f"WITH {_bm25("field = 'text'")}, r AS (SELECT qid, id, score AS raw, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= 20) SELECT 'only_text' AS fields, qid, id, round(raw, 6) AS score, rank FROM r")
 def bm25_only_text(spark: SparkSession, d: str) -> DataFrame:
-    return R.top(_scores(spark, d, ["text"]), 20).withColumn("fields", F.lit("only_text"))
+    return _best(spark, d, 20, ["text"]).withColumn("fields", F.lit("only_text"))
 
 
 _PARTS = """price AS (SELECT CAST(p_size AS INT) AS qid, p_partkey AS id, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part QUALIFY rank <= 120),
