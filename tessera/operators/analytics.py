@@ -82,10 +82,17 @@ def facet_scores(facets: DataFrame) -> DataFrame:
     return per.select("attribute", pick(entropy).alias("entropy"), (F.col("seen") / F.col("total")).alias("coverage"), pick(1 - F.col("most") / F.col("seen")).alias("reduction"))
 
 
-def route(message: Column, hard: Column, excluded: Column, category: Column) -> tuple[Column, Column]:
-    """(route, confidence) of a turn. hard, excluded: whether there are such constraints; category: or null."""
-    low = F.lower(message)
-    browsing, strong, weak = low.rlike(BROWSING), low.rlike(STRONG), low.rlike(WEAK)
+def _says(message: Column, ascii: bool) -> list[Column]:
+    """Whether a message has browsing, strong and weak buying language; a null one has none. ``ascii``: as in SQL, words end at
+    whatever is not of A-Z, a-z, 0-9 and ``_``; else at no letter of any script, so that ``underätzt`` does not say ``under``."""
+    low = F.lower(F.translate(message, "İ", "i") if ascii else message)
+    edge = lambda p: "(?<![A-Za-z0-9_])" + p.removeprefix(r"\b").removesuffix(r"\b") + "(?![A-Za-z0-9_])" if ascii else p
+    return [F.coalesce(low.rlike(edge(p)), F.lit(False)) for p in (BROWSING, STRONG, WEAK)]
+
+
+def route(message: Column, hard: Column, excluded: Column, category: Column, ascii: bool = False) -> tuple[Column, Column]:
+    """(route, confidence) of a turn. hard, excluded: whether there are such constraints; category: or null; ascii: as in ``_says``."""
+    browsing, strong, weak = _says(message, ascii)
     known = category.isNotNull() & (category != "")
     signals = 1 + weak.cast("int")
     name = F.when(hard | excluded | strong, "buying").when(browsing, "browsing").when(known & (signals <= 2), "browsing").when(weak & known, "buying").otherwise("browsing")

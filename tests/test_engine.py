@@ -69,6 +69,35 @@ def test_fusion_and_guard(spark):
     assert blend[2] == pytest.approx(0.7) and blend[1] == pytest.approx(0.6 + 0.4 / 201)
 
 
+#: Texts in which words end as DuckDB sees them: at letters that are not of a-z, at marks, at a capital dotted I.
+ODD = ["underätzt", "ciónonly", "must\u0301 do", "İdeas", "\u0130dea", "no_must", "loo\u212aing for", "MUST", "ideas", "only1", "", None]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A folder of conversations that say ODD."""
+    path = f"{tmp_path_factory.mktemp('odd')}"
+    rows = [(c, t, "user", text) for c in range(len(ODD)) for t, text in enumerate(ODD)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+def odd_rows(spark, path, name):
+    """(rows of the query, rows of its SQL), sorted."""
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    got = QUERIES[name](spark, path)
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})").fetchall()
+    return sorted(map(tuple, got.collect())), sorted(want)
+
+
+def test_route_decision_ends_words_as_its_sql(spark, odd):
+    got, want = odd_rows(spark, odd, "route_decision")
+    assert got == want and len({r[2:] for r in got}) == 4
+    name, sure = A.route(F.lit("underätzt"), F.lit(False), F.lit(False), F.lit("boots"))  # by itself, words have letters of any script
+    assert (value(spark, name), value(spark, sure)) == ("browsing", 0.72)
+
+
 def test_popularity_keeps_larger_id_at_the_border(spark):
     items = spark.createDataFrame([(1, 10, 1.0), (2, 5, 1.0), (3, 5, 1.0)], "id long, n long, r double")
     assert [r["id"] for r in R.popular(items, "id", "n", "r", 2).collect()] == [1, 3]
