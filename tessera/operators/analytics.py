@@ -100,16 +100,16 @@ def route(message: Column, hard: Column, excluded: Column, category: Column, asc
     return name, sure
 
 
-def decision(message: Column, hard: Column, excluded: Column, category: Column, override: Column) -> Column:
-    """(route, confidence, signals, reason, override) of a turn. hard, excluded: arrays of terms."""
-    low = F.lower(message)
+def decision(message: Column, hard: Column, excluded: Column, category: Column, override: Column, ascii: bool = False) -> Column:
+    """(route, confidence, signals, reason, override) of a turn. hard, excluded: arrays of terms; ascii: as in ``_says``."""
+    browsing, strong, weak = _says(message, ascii)
     fields = F.transform(hard, lambda t: t["field"])
-    name, sure = route(message, F.size(hard) > 0, F.size(excluded) > 0, category)
+    name, sure = route(message, F.size(hard) > 0, F.size(excluded) > 0, category, ascii)
     # The language of the signals, as in route.
     seen = [
         ("has_hard_constraint", F.size(hard) > 0), ("has_budget", F.arrays_overlap(fields, F.array(F.lit("price_min"), F.lit("price_max")))),
         ("has_size", F.array_contains(fields, "size")), ("has_exclusion", F.size(excluded) > 0),
-        ("strong_buying_language", low.rlike(STRONG)), ("browsing_language", low.rlike(BROWSING)), ("weak_buying_language", low.rlike(WEAK)),
+        ("strong_buying_language", strong), ("browsing_language", browsing), ("weak_buying_language", weak),
         ("has_category", F.coalesce(category != "", F.lit(False))),
     ]
     signals = F.array_compact(F.array(*(F.when(c, F.lit(s)) for s, c in seen)))

@@ -230,7 +230,7 @@ def route_signals(spark: SparkSession, d: str) -> DataFrame:
     said = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, " only").when(F.col("turn") % 3 == 1, " not sure").otherwise(" I need it"))
     none = _terms()
     hard, out = F.when(F.col("conv_id") % 5 == 0, _terms(price_max=["5"])).otherwise(none), F.when(F.col("turn") % 4 == 3, _terms(color=["red"])).otherwise(none)
-    made = A.decision(said, hard, out, F.when(F.col("conv_id") % 2 == 0, "boots"), F.lit(False))
+    made = A.decision(said, hard, out, F.when(F.col("conv_id") % 2 == 0, "boots"), F.lit(False), ascii=True)
     return load(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), made.alias("m")).select("id", "m.route", "m.confidence", F.array_join("m.signals", ",").alias("signals"))
 
 

@@ -98,6 +98,11 @@ def test_route_decision_ends_words_as_its_sql(spark, odd):
     assert (value(spark, name), value(spark, sure)) == ("browsing", 0.72)
 
 
+def test_route_signals_end_words_as_their_sql(spark, odd):
+    got, want = odd_rows(spark, odd, "route_signals")
+    assert got == want and any("strong_buying_language" in r[3] and "browsing_language" in r[3] for r in got)
+
+
 def test_popularity_keeps_larger_id_at_the_border(spark):
     items = spark.createDataFrame([(1, 10, 1.0), (2, 5, 1.0), (3, 5, 1.0)], "id long, n long, r double")
     assert [r["id"] for r in R.popular(items, "id", "n", "r", 2).collect()] == [1, 3]
