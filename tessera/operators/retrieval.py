@@ -71,9 +71,11 @@ def guarded(legacy: DataFrame, formal: DataFrame, alpha: Column, formal_k: int =
     return both.withColumn("formal_rank", rank).withColumn("blend", (1 - alpha) / F.col("legacy_rank") + alpha / F.col("formal_rank"))
 
 
-def popular(items: DataFrame, id_col: str, count_col: str, rating_col: str, k: int) -> DataFrame:
-    """The k greatest ``count * max(rating, 0.1)``, the larger id at the border; ordered by score, then id."""
-    scored = items.select(F.col(id_col).alias("id"), (F.col(count_col) * F.greatest(F.col(rating_col), F.lit(0.1))).alias("score"))
+def popular(items: DataFrame, id_col: str, count_col: str, rating_col: str, k: int, places: int | None = None) -> DataFrame:
+    """The k greatest ``count * max(rating, 0.1)``, the larger id at the border; ordered by score, then id. ``places``: those
+    to which scores are rounded, before they are compared."""
+    score = F.col(count_col) * F.greatest(F.col(rating_col), F.lit(0.1))
+    scored = items.select(F.col(id_col).alias("id"), (score if places is None else F.round(score, places)).alias("score"))
     return scored.orderBy(F.desc("score"), F.desc("id")).limit(k).orderBy(F.desc("score"), "id")
 
 
