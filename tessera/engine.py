@@ -69,14 +69,15 @@ class Engine:
         self.spark, self.runtime, self.questions, self.local, self.hints = spark, runtime, questions, local, hints
         self.threshold, self.weights, self.limit, self.guard = threshold, weights, limit, float(guard)
         self.dense, self.vectors, self.encoder = dense, vectors, encoder
-        self.products = stored(read_catalog(spark, products) if isinstance(products, str) else products, "products")
+        whole = read_catalog(spark, products) if isinstance(products, str) else products
+        self.products = stored(whole.repartition("parent_asin"), "products")  # a catalog of few files is worked on by all cores
         if index is None:
             index = scratch_path(spark, "index")
             I.build(self.products, index)
         self.index = I.Index(spark, index)
         self.popular = H.popular_hits(self.products)
         self.normalized = stored(normalize(self.products), "normalized") if local else None
-        self.facets = stored(facets(self.normalized), "facets") if local else None
+        self.facets: DataFrame | None = None  # of the whole catalog, made when the policy first asks
         self.diagnostics: DataFrame | None = None
 
     def _checked(self, sessions: DataFrame) -> DataFrame:
@@ -139,6 +140,8 @@ class Engine:
     def _policy(self, heard: DataFrame, pool: DataFrame) -> DataFrame:
         """(qid, policy_attribute, policy_value): what the question policy would ask, by the facets of the pool."""
         names = ["material", "feature", "color", "style", "size", "use_case", "budget", "brand"]
+        if self.facets is None:
+            self.facets = stored(facets(self.normalized), "facets")
         rows = pool.select("qid", F.col("id").alias("parent_asin")).join(self.facets, "parent_asin")
         long = rows.select("qid", F.explode(F.array(*(F.struct(F.lit(n).alias("attribute"), F.col(n).alias("value")) for n in names))).alias("f")).select("qid", "f.*")
         asked = F.create_map(*(x for f, a in ASKED_AS.items() for x in (F.lit(f), F.lit(a))))

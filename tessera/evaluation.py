@@ -13,6 +13,7 @@ from .dialogue.customer import Customer
 from .dialogue.memory import LAST_TURN, Memory
 from .engine import TOP_K, Engine
 from .operators.analytics import MISS_TURN
+from .operators.retrieval import among
 from .sources.catalog import read_lenient, read_objects
 from .storage import stored
 
@@ -28,7 +29,8 @@ def read_samples(spark: SparkSession, path: str, strict: bool = True) -> DataFra
 
 def with_targets(samples: DataFrame, products: DataFrame) -> DataFrame:
     """``samples`` beside the ``product`` line of their target; a target that is no product is an error."""
-    found = samples.join(products.select(F.col("parent_asin").alias("target"), F.col("raw").alias("product")), "target", "left")
+    lines = among(products.select(F.col("parent_asin").alias("target"), F.col("raw").alias("product")), "target", samples.select("target"))
+    found = samples.join(lines, "target", "left")
     return found.withColumn("product", F.when(F.col("product").isNull(), F.raise_error(F.concat(F.lit("target is no product: "), F.coalesce("target", F.lit("null")))).cast("string")).otherwise(F.col("product")))
 
 

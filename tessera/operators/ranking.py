@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import RANK_STOP_WORDS, normalized_phrase, terms
 from . import matching as M
 from .normalize import document
-from .retrieval import top
+from .retrieval import among, top
 
 FEATURES = [f for f in M.WEIGHTS if f != "penalty"] + ["penalty"]
 MOST_PROFILE = 0.03
@@ -79,6 +79,7 @@ def explain(requests: DataFrame, pool: DataFrame, products: DataFrame, threshold
 
     requests: qid, category, hard, soft, excluded, structured_query, current_message, tags; pool: qid, id, rrf.
     rrf is scaled by the pool's greatest before the filter, popularity by the greatest log of those that stay."""
+    products = among(products, "parent_asin", pool.select(F.col("id").alias("parent_asin")))
     both = pool.select("qid", "id", F.col("rrf").alias("raw_rrf")).join(products, F.col("id") == F.col("parent_asin"), "left")
     known = F.when(F.col("parent_asin").isNull(), F.raise_error(F.concat(F.lit("candidate is no product: "), "id")).cast("string")).otherwise(F.col("id"))
     asked = requests.select("qid", "category", "hard", "soft", "excluded", "structured_query", "current_message", "tags")

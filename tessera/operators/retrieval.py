@@ -46,6 +46,12 @@ def _queries(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is in ``wanted`` (one column of that name), if these are counted to be few; else all rows."""
+    few = wanted.distinct()
+    return rows.join(F.broadcast(few), key, "left_semi") if few.limit(MOST_LITERALS + 1).count() <= MOST_LITERALS else rows
+
+
 def top(scored: DataFrame, k: int, by: str = "score", partition: str = "qid") -> DataFrame:
     """The k best of each query, ties by id, with ``rank``."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(F.desc(by), "id"))).filter(F.col("rank") <= k)

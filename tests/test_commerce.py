@@ -110,6 +110,19 @@ def test_index_breaks_ties_by_id(spark, tmp_path):
     assert [i for *_, i in got[20:]] == sorted(range(24), key=lambda i: (-orders[i][1], i))[:10]
 
 
+def test_search_gives_on_the_best_of_each_task_alone(spark, tmp_path):
+    """A word of every document: rows that leave the tasks are few, and queries of the same terms are one."""
+    path = str(tmp_path / "c")
+    I.build(spark.range(3000).select("id", F.concat(F.lit("shoe "), (F.col("id") % 7).cast("string"), F.lit("x")).alias("text")).repartition(4), path, ["text"], "id")
+    index = I.Index(spark, path)
+    asked = spark.range(50).select(F.col("id").alias("qid"), F.lit("shoe 3x").alias("query"))
+    assert index.asked(asked).select("terms").distinct().count() == 1
+    sent = index.blocks.mapInArrow(I._best(["shoe 3x"], index._idf(["3x", "shoe"], None), I.np.ones(1), [0], index.meta["mean"], 10), "terms string, id long, score double")
+    assert 10 <= sent.count() <= 10 * index.blocks.rdd.getNumPartitions()
+    got = index.search(asked, 10, {"text": 1.0}).collect()
+    assert len(got) == 500 and {(r["rank"], r["id"]) for r in got} == {(n + 1, 3 + 7 * n) for n in range(10)}
+
+
 def test_index_blocks_equal_a_plain_search(spark, tmp_path, monkeypatch):
     """Many small blocks and queries in lots of two, against sums over all documents."""
     monkeypatch.setattr(I, "QUERIES", 2)
